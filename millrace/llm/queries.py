@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import sharding
+from millrace.llm import bpe, sharding
 
 QUERIES = {
     "op7_sharding": sharding.op7_sharding,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
