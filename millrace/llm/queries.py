@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, media, mixing, secrets, sharding
+from millrace.llm import bpe, imatch, media, mixing, secrets, sharding
 
 QUERIES = {
+    "op6_fingerprints": imatch.op6_fingerprints,
     "op8_mixing": mixing.op8_mixing,
     "op10_media": media.op10_media,
     "op4_secrets": secrets.op4_secrets,
