@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings that matter for right results or for plans at size.
@@ -28,3 +33,20 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **extra: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    path = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, f"millrace/{p.relative_to(root)}")
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
