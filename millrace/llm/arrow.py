@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.session import ship
+
 #: Rows handled together inside a batch: bounds what a function holds besides its input.
 ROWS_A_PIECE = 512
 
@@ -16,6 +18,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     kind = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 

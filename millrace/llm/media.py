@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import map_batches
+from millrace.session import ship
 from millrace.storage import materialize, new_path
 
 WIDTH = 192
@@ -131,6 +132,7 @@ class Shards:
 
 def store_texts(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write every text's payload; rows of (doc_id, n_bytes, digest, shard, offset, length)."""
+    ship(docs.sparkSession)
     names = [x.split()[0] for x in PLACES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
