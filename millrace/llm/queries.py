@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, extract, imatch, media, mixing, secrets, sharding
+from millrace.llm import bpe, extract, imatch, media, mixing, neardup, secrets, sharding
 
 QUERIES = {
+    "op1_near_dedup": neardup.op1_near_dedup,
     "op3_html": extract.op3_html,
     "op6_fingerprints": imatch.op6_fingerprints,
     "op8_mixing": mixing.op8_mixing,
