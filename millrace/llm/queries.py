@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, extract, imatch, media, mixing, neardup, quality, secrets, sharding
+from millrace.llm import bpe, extract, imatch, lm, media, mixing, neardup, quality, secrets, sharding
 
 QUERIES = {
+    "op5_lm": lm.op5_lm,
     "op2_quality": quality.op2_quality,
     "op1_near_dedup": neardup.op1_near_dedup,
     "op3_html": extract.op3_html,
