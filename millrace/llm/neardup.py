@@ -52,6 +52,8 @@ CELL = 2048
 #: Bits of the filter of ids whose sets are wanted: 2 MB for any corpus.
 FILTER_BITS = 24
 WORD_CACHE = 1 << 18
+#: Most ids that are broadcast (1.6 MB); more are joined by a shuffle.
+SMALL_IDS = 200_000
 _M = np.uint64
 _words: dict[bytes, int] = {}
 
@@ -323,11 +325,16 @@ def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
 
 def drop_near_copies(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept; of rows with one id, one."""
-    gone = materialize(near_groups(docs, width, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "neardup-gone")
-    again = docs.groupBy(id_col).count().where(f"`{id_col}` is not null and count > 1").select(F.col(id_col).alias("_gone"))
-    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    twice = left.join(again, left[id_col] == again["_gone"], "left_semi").dropDuplicates([id_col])
-    return left.join(again, left[id_col] == again["_gone"], "left_anti").unionByName(twice)
+    own = near_groups(docs, width, id_col, text_col).where("not kept")
+    gone = materialize(own.select(F.col("doc_id").alias("_gone")).distinct(), "neardup-gone")
+    few = gone.limit(SMALL_IDS + 1).count() <= SMALL_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("_gone"), "left_anti")
+    ids = left.groupBy(id_col).count().where(f"`{id_col}` is not null and count > 1")
+    again = materialize(ids.select(F.col(id_col).alias("_gone")), "neardup-repeated")
+    if not again.limit(1).count():
+        return left
+    twice = left.join(again, left[id_col] == F.col("_gone"), "left_semi").dropDuplicates([id_col])
+    return left.join(again, left[id_col] == F.col("_gone"), "left_anti").unionByName(twice)
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from millrace.llm import bpe, extract, imatch, lm, media, mixing, neardup, quality, secrets, sharding
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op5_lm": lm.op5_lm,
     "op2_quality": quality.op2_quality,
     "op1_near_dedup": neardup.op1_near_dedup,

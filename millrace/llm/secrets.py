@@ -178,15 +178,15 @@ def bounds(found: DataFrame, fdr: float) -> DataFrame:
     return kept.groupBy("encoding", "length").agg((F.min("step") / 8).alias("least"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, base and all: sorted arrays of (start, kind, end). keep: other columns to carry."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR, keep: bool = False) -> DataFrame:
+    """doc_id, base and all: sorted arrays of (start, kind, end). keep: the whole row goes along as ``row``."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), MARK, OTHER)
     found = materialize(
         docs.select(
             F.col(id_col).cast("long").alias("_id"),
             F.transform(base_spans(text), lambda m: m.dropFields("s")).alias("base"),
             candidates(text).alias("candidates"),
-            *[F.col(f"`{c}`") for c in keep or []],
+            *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []),
         ),
         "secret-spans",
     )
@@ -200,7 +200,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     )
     plain = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     return found.crossJoin(F.broadcast(least)).select(
-        F.col("_id").alias("doc_id"), "base", F.array_sort(F.concat("base", plain)).alias("all"), *[F.col(f"`{c}`") for c in keep or []]
+        F.col("_id").alias("doc_id"), "base", F.array_sort(F.concat("base", plain)).alias("all"), *(["row"] if keep else [])
     )
 
 
@@ -224,8 +224,9 @@ def redacted(text: Column, found: Column, sign: str = "[secret]") -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """The rows of ``docs`` with secrets replaced in the text; a null text stays null."""
-    found = scan(docs.withColumn("_text", F.col(text_col)), id_col, "_text", fdr, keep=docs.columns)
-    return found.select(*[(redacted(F.col(c), F.col("all")) if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    found = scan(docs, id_col, text_col, fdr, keep=True)
+    field = lambda c: F.col("row").getField(c)
+    return found.select(*[(redacted(field(c), F.col("all")) if c == text_col else field(c)).alias(c) for c in docs.columns])
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
