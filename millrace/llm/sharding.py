@@ -10,9 +10,8 @@ No task and no driver array ever holds all groups. The driver sees sums over
 divisible, ranges taken as atomic), and asks for finer sums only of the ranges
 in which a cut can lie, until these are single groups.
 
-Defined results: a null text has size 1 and all nulls are one group, apart
-from the empty text, which is a group too; repeated rows each get a slot of
-their own; an empty table gives no rows; other columns are ignored. A group
+Defined results: a null text has size 1 and is in the group of the empty text;
+repeated rows each get a slot of their own; an empty table gives no rows; other columns are ignored. A group
 larger than an equal share takes a shard alone and the rest is cut among the
 other shards.
 """
@@ -138,7 +137,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
             F.col(id_col).cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(bytes_).alias("text_crc32"),
-            F.xxhash64(text).alias("key"),
+            F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"),
         ),
         "shard-rows",
     )

@@ -1,0 +1,202 @@
+"""op1, op6, op7: brute force and edge cases."""
+
+import hashlib
+import random
+import zlib
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from millrace.llm import imatch, neardup, sharding
+from millrace.llm.components import components
+
+DOCS = "doc_id long, text string, n long, df long, v string"
+
+
+def table(spark, rows):
+    """Rows with extra columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, 1, 2, "x") for i, t in rows], DOCS)
+
+
+def varied(seed: int, n: int = 260) -> list[tuple[int, str]]:
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdef") for _ in range(r.randint(1, 3)))
+    base = [[word() for _ in range(r.choice([1, 2, 3, 6, 12, 40, 80]))] for _ in range(12)]
+    out = []
+    for i in range(n):
+        w = list(r.choice(base))
+        for _ in range(r.choice([0, 0, 1, 2, 4, 8])):
+            w[r.randrange(len(w))] = word()
+        out.append((i * 3 + 1, " ".join(w) if r.random() < 0.9 else "\n".join(w).upper()))
+    return out
+
+
+def brute_components(rows, width):
+    sets = []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append((i, {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()))
+    label = {i: i for i, _ in sets}
+
+    def find(a):
+        while label[a] != a:
+            a = label[a]
+        return a
+
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                p, q = find(i), find(j)
+                label[max(p, q)] = min(p, q)
+    return {i: (len(s), find(i)) for i, s in sets}
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_groups_against_brute_force(spark, width):
+    rows = varied(width) + [(900_001, None), (900_002, ""), (900_003, " \n"), (900_004, "one"), (900_005, "ONE")]
+    want = brute_components(rows, width)
+    got = neardup.near_groups(table(spark, rows), width).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(rows)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_large_list_in_blocks(spark, monkeypatch):
+    """Lists cut into cells give the same components. The cell size goes into the plan on the driver."""
+    monkeypatch.setattr(neardup, "CELL", 16)
+    rows = varied(9, 150)
+    got = neardup.near_groups(table(spark, rows), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2)
+
+
+def test_near_groups_edges(spark):
+    empty = neardup.near_groups(table(spark, [(1, "a")]).limit(0), 2)
+    assert empty.columns == ["doc_id", "n_shingles", "component_id", "kept"] and empty.count() == 0
+    rows = [(5, "a b c"), (5, "a b c"), (None, "a b c"), (7, "a b c")]
+    got = sorted(((r.doc_id or 0), r.component_id, r.kept) for r in neardup.near_groups(table(spark, rows), 2).collect())
+    assert got == [(0, None, True), (5, 5, True), (5, 5, True), (7, 5, False)]
+    left = neardup.drop_near_copies(table(spark, rows), 2)
+    assert left.columns == ["doc_id", "text", "n", "df", "v"]
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 5]
+
+
+def test_components_of_a_path_and_a_hub(spark):
+    path = [(k, k + 1) for k in range(1, 60)]
+    hub = [(100, k) for k in range(101, 160)] + [(90, 159)]
+    got = {r.id: r.label for r in components(spark.createDataFrame(path + hub, "a long, b long")).collect()}
+    assert all(got[k] == 1 for k in range(1, 61)) and all(got[k] == 90 for k in range(100, 160))
+
+
+def brute_prints(rows, band=imatch.BAND):
+    import regex
+
+    cut = lambda t: {w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    order = sorted(rows, key=lambda r: -r[0])
+    texts = [t or "" for _, t in order]
+    df: dict[str, int] = {}
+    for t in texts:
+        for w in cut(t):
+            df[w] = df.get(w, 0) + 1
+    n = len(texts)
+    lo, hi = max(2, band[0] * n), max(2, band[1] * n)
+    h = lambda w, seed=42: xxhash.xxh64_intdigest(w.encode(), seed=seed)
+    mask = (1 << imatch.SLOT_BITS) - 1
+    slots = {h(w) & mask for w, c in df.items() if lo <= c <= hi}
+    import struct
+
+    seeded = lambda w: h(w, xxhash.xxh64_intdigest(struct.pack("<I", imatch.SEED), seed=42))
+
+    def prints(t):
+        own = sorted((w for w in cut(t) if h(w) & mask in slots), key=str.encode)
+        if not own:
+            return [hashlib.md5((" " + t).encode()).hexdigest()[:8]] * imatch.SUBSETS
+        parts = [[] for _ in range(imatch.SUBSETS)]
+        for w in own:
+            x = seeded(w)
+            parts[(x - (1 << 64) if x >> 63 else x) % imatch.SUBSETS].append(w)
+        return [hashlib.md5(" ".join(p).encode()).hexdigest()[:8] if p else "0" * 8 for p in parts]
+
+    out = {}
+    for k, (i, _) in enumerate(order):
+        t, after = texts[k], texts[(k + 1) % n]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, b, c = prints(t), prints(edited), prints(after)
+
+        def near(x, y):
+            some = [(p, q) for p, q in zip(x, y) if p != "0" * 8 or q != "0" * 8]
+            return sum(p == q for p, q in some) / len(some) if some else 1.0
+
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), near(a, b), near(a, c))
+    return out
+
+
+def test_fingerprints_against_brute_force(spark):
+    rows = varied(4, 200) + [(5000, None), (5003, ""), (5006, "É 😀 ß x"), (5009, "😀😀😀 b")]
+    got = {r.doc_id: tuple(r)[1:] for r in imatch.fingerprints(table(spark, rows)).collect()}
+    want = brute_prints(rows)
+    assert got.keys() == want.keys()
+    for i in got:
+        assert got[i][:4] == want[i][:4]
+        assert got[i][4:] == pytest.approx(want[i][4:])
+
+
+def test_fingerprint_edges(spark):
+    assert imatch.fingerprints(table(spark, [(1, "a")]).limit(0)).count() == 0
+    one = imatch.fingerprints(table(spark, [(1, "abcd")])).first()
+    assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1.0
+    rows = [(3, "a b"), (3, "a b"), (None, "a b"), (2, None)]
+    got = imatch.fingerprints(table(spark, rows)).collect()
+    assert len(got) == 4 and len({r.fingerprint for r in got if r.n_chars}) == 1
+
+
+def brute_capacity(sizes, shards):
+    lo, hi = max(sizes), sum(sizes)
+    while lo < hi:
+        mid, used, now = (lo + hi) // 2, 1, 0
+        for s in sizes:
+            if now + s > mid:
+                used, now = used + 1, 0
+            now += s
+        lo, hi = (lo, mid) if used <= shards else (mid + 1, hi)
+    return lo
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cuts_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    n = r.choice([3, 40, 500])
+    keys = [r.randrange(2**64) if seed % 2 else r.randrange(2**20) for _ in range(n)]
+    sizes = {k: r.choice([1, 5, 100, 1000]) for k in keys}
+    groups = spark.createDataFrame([(k - 2**64 if k >= 2**63 else k, s) for k, s in sizes.items()], "key long, bytes long")
+    shards = r.choice([2, 5, 16])
+    ordered = sorted(sizes)
+    want = brute_capacity([sizes[k] for k in ordered], shards)
+    capacity, cuts = sharding.find_cuts(groups, shards)
+    assert capacity == want == sharding.minimax_cuts([sizes[k] for k in ordered], shards)[0]
+    assert len(cuts) < shards
+    edges = [0, *cuts, 2**64]
+    assert max(sum(s for k, s in sizes.items() if a <= k < b) for a, b in zip(edges, edges[1:])) == want
+
+
+def test_shards(spark):
+    rows = [(k, f"text {k % 150} " * (k % 7 + 1)) for k in range(300)] + [(1000, None), (1001, ""), (7, "again"), (None, "again")]
+    got = sharding.shard_documents(table(spark, rows), 16).collect()
+    assert len(got) == len(rows)
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    by = {}
+    for r in got:
+        by.setdefault((r.size, r.text_crc32), set()).add(r.shard)
+    assert all(len(x) == 1 for x in by.values())
+    assert {r.doc_id: r.size for r in got}[1000] == 1
+    assert {r.doc_id: r.text_crc32 for r in got}[5] == zlib.crc32(rows[5][1].encode())
+    assert sharding.shard_documents(table(spark, rows).limit(0), 16).count() == 0
+
+
+def test_a_group_with_a_third_of_all_rows_is_alone(spark):
+    rows = [(k, "same " * 20 if k % 3 == 0 else f"{k} " * 20) for k in range(900)]
+    got = sharding.shard_documents(table(spark, rows), 16).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
+    sizes = sorted(r.b for r in got)
+    assert max(r.n for r in got) == 300 and len(got) == 16
+    assert sizes[14] < 1.4 * sizes[1]

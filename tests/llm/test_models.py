@@ -1,0 +1,138 @@
+"""op2, op3 and the pipeline: held-out accuracy, pages by hand, edge cases."""
+
+import random
+from collections import Counter
+
+import pytest
+
+from millrace.llm import extract, neardup, quality
+from millrace.llm.dom import parse
+
+DOCS = "doc_id long, text string, lang string, source string, chance double"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, g, s, 0.5) for i, t, g, s in rows], DOCS)
+
+
+def prose(r, bad=False):
+    w = ["".join(r.choice("etaoinshr") for _ in range(r.randint(2, 8))) for _ in range(r.randint(20, 120))]
+    return " ".join(x + r.choice(["%%%", "###", "$$$"]) for x in w) if bad else " ".join(w) + "."
+
+
+def test_quality_on_held_out_rows(spark):
+    r = random.Random(1)
+    truth = {k: k % 4 != 0 for k in range(600)}
+    rows = [(k, prose(r, not good), "en", f"h{k % 7}") for k, good in truth.items()]
+    labels = spark.createDataFrame([(k, int(truth[k]), 0) for k in range(0, 600, 2)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.keep for x in quality.classify(docs(spark, rows), labels).collect()}
+    out = [k for k in truth if k % 2]
+    assert all(got[k] == truth[k] for k in out)
+    df = docs(spark, rows)
+    kept = quality.drop_rejected(df, labels)
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {k for k, v in truth.items() if v}
+
+
+def test_sites_are_shrunk(spark):
+    slim = spark.createDataFrame([("big", "a", 3.0)] * 300 + [("bad", "a", -3.0)] * 300 + [("small", "a", -3.0), ("big", "b", -3.0)], "host string, path string, ratio double")
+    rate = {(x.host, x.path): x for x in quality.site_rates(slim, 0.0).collect()}
+    own = 1 / (1 + 2.718281828**3)
+    assert rate["big", "a"].path_rate > 0.9 and rate["bad", "a"].path_rate < 0.1
+    assert own + 0.02 < rate["small", "a"].path_rate < 0.6
+    assert rate["big", "b"].path_rate > own + 0.02
+
+
+def test_quality_edges(spark):
+    rows = [(1, None, None, None), (2, "", "en", "h"), (3, "fine text", None, "h"), (3, "fine text", None, "h"), (None, "no id", "en", None)]
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality.classify(docs(spark, rows), none).collect()
+    assert len(got) == 5 and all(x.keep and x.evidence == 0 for x in got)
+    assert quality.classify(docs(spark, rows).limit(0), none).count() == 0
+    assert quality.drop_rejected(docs(spark, rows), none).count() == 5
+
+
+@pytest.fixture(scope="module")
+def model():
+    return extract.trained()
+
+
+def test_extraction_of_held_out_pages(model):
+    r = random.Random(77)
+    wrong = total = 0
+    for _ in range(150):
+        tree = parse(extract.labelled_page(r))
+        found, label = model.marginals(tree), [0] * len(tree.tag)
+        for i in range(1, len(tree.tag)):
+            label[i] = extract.STATES.index(tree.label[i]) if tree.tag[i] is not None and tree.label[i] else label[tree.parent[i]]
+            if tree.tag[i] is None:
+                kept = found[i][1] > max(found[i][0], found[i][2])
+                total += len(tree.text[i])
+                wrong += len(tree.text[i]) * (kept != (label[tree.parent[i]] == 1))
+    assert wrong / total < 0.08
+
+
+def test_marginals_are_those_of_enumeration(model):
+    """Sum-product against the sum over all states of a small tree."""
+    import itertools
+    import math
+
+    tree = parse("<body><nav><a href='/x'>abc</a></nav><p>Some words, here. And more.</p></body>")
+    n = len(tree.tag)
+    own = [[sum(model.node.get(f, [0, 0, 0])[s] for f in fs) for s in range(3)] for fs in extract.features(tree)]
+    sums, z = [[0.0] * 3 for _ in range(n)], 0.0
+    for states in itertools.product(range(3), repeat=n - 1):
+        s = (0, *states)
+        log = sum(own[i][s[i]] + math.log(model.edge[tree.tag[i] is None][s[tree.parent[i]]][s[i]]) for i in range(1, n))
+        w = math.exp(log)
+        z += w
+        for i in range(n):
+            sums[i][s[i]] += w
+    for got, want in zip(model.marginals(tree), sums):
+        assert got == pytest.approx([x / z for x in want], rel=1e-6, abs=1e-9)
+
+
+PAGE = (
+    "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav>"
+    "<!-- ad --><div class='ad'>Buy this now, it is good.</div><article><h1>The title of it</h1><p>First words, with <b>bold</b>ness &amp; more.<br>Next\n\n line here.<p>Second block of the text, which goes on.</article>"
+    "<div class='comments'><p>I liked this very much, thank you.</p></div><footer>&copy; x.example</footer></body></html>"
+)
+
+
+def test_a_page(spark, model):
+    want = "The title of it First words, with boldness & more. Next line here. Second block of the text, which goes on."
+    assert model.main_text(PAGE) == want
+    assert model.main_text(PAGE[: PAGE.index("which goes")]) == want[: want.index(" which goes")]
+    for odd in (None, "", "<", "<p", "plain", "&am", "<b></p></b>", "<div>" * 3000 + "x", "<script>never closed"):
+        assert isinstance(model.main_text(odd), str)
+    df = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (1, "u", PAGE, "t")], "page_id long, url string, html string, text string")
+    got = extract.extract_pages(df, model).collect()
+    assert Counter((r.page_id, r.url, r.text, r.n_chars) for r in got) == Counter({(1, "u", want, len(want)): 2, (2, None, "", 0): 1})
+    assert extract.extract_pages(df.limit(0), model).count() == 0
+
+
+def test_pipeline_on_a_small_table(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    rows = [(k, prose(r, k % 5 == 0), "en", f"s{k % 4}", 1) for k in range(160)]
+    rows += [(1000 + k, rows[1][1], "en", "s0", 1) for k in range(30)] + [(2000, f"token = {'0a1b2c3d4e5f' * 3}", "en", "s1", 1), (2001, None, None, None, None), (2002, "", "fr", "s2", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 5 != 0), 0) for k in range(160)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs_ = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "secrets", "mixing", "bpe"]
+    seen, now = {}, docs_
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        if name != "bpe":
+            assert now.columns == docs_.columns
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = now.collect()
+    good = {x.doc_id for x in seen["quality"]}
+    assert not {k for k in range(0, 160, 5)} & good and {k for k in range(160) if k % 5} <= good
+    kept = {x.doc_id for x in seen["near_dedup"]}
+    assert not {1000 + k for k in range(30)} & kept and 1 in kept
+    want = {x.doc_id for x in neardup.near_groups(spark.read.parquet(f"{tmp_path}/quality")).where("kept").collect()}
+    assert kept == want
+    assert any("[secret]" in (x.text or "") for x in seen["secrets"] if x.doc_id == 2000) == (2000 in kept)
+    assert len(seen["bpe"]) == len(seen["mixing"])
