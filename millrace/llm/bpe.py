@@ -40,8 +40,9 @@ from millrace.llm.arrow import map_batches
 
 #: Characters normalised and split together; a cut is made at white space only.
 PIECE = 1 << 16
-#: Words whose tokens are remembered.
+#: Words whose tokens are remembered, and as many older ones.
 CACHE = 1 << 17
+NEVER = 1 << 62
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -97,6 +98,8 @@ class Transducer:
         self.merges = {}
         for rank, (u, v) in enumerate(merges):
             self.merges.setdefault((self.vocab[u], self.vocab[v]), (rank, self.vocab[u + v]))
+        #: The same as whole numbers, for vocabularies of up to 65,536 tokens: pair -> rank and token.
+        self.codes = {a << 16 | b: rank << 16 | new for (a, b), (rank, new) in self.merges.items()}
         self.symbols = byte_symbols()
         bare = [self.vocab[s] for s in self.symbols]
         last = [self.vocab[s + self.suffix] for s in self.symbols]
@@ -113,25 +116,32 @@ class Transducer:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.path, self.unsettled = path, None
+        self.decimal = {i: b"%d" % i for i in self.token}
         self.cache: dict[str, tuple[int, bytes, bytes]] = {}
+        self.older: dict[str, tuple[int, bytes, bytes]] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of a list of symbols, lowest rank first, leftmost first."""
         n = len(ids)
         if n < 2:
             return ids
-        table = self.merges
-        if n <= 24:
+        if n <= 64:
+            get = self.codes.get
             ids = list(ids)
-            while True:
-                best = None
-                for k in range(len(ids) - 1):
-                    m = table.get((ids[k], ids[k + 1]))
-                    if m is not None and (best is None or m < best):
-                        best, at = m, k
-                if best is None:
-                    return ids
-                ids[at : at + 2] = [best[1]]
+            pairs = [get(a << 16 | b, NEVER) for a, b in zip(ids, ids[1:])]
+            while pairs:
+                best = min(pairs)
+                if best == NEVER:
+                    break
+                at = pairs.index(best)
+                ids[at] = new = best & 0xFFFF
+                del ids[at + 1], pairs[at]
+                if at < len(pairs):
+                    pairs[at] = get(new << 16 | ids[at + 1], NEVER)
+                if at:
+                    pairs[at - 1] = get(ids[at - 1] << 16 | new, NEVER)
+            return ids
+        table = self.merges
         here, after, before = list(ids), [*range(1, n), -1], [-1, *range(n - 1)]
         heap = []
 
@@ -216,10 +226,18 @@ class Transducer:
 
     def known(self, word: str) -> tuple[int, bytes, bytes]:
         """Count, decimal ids and token texts of a word, both joined by spaces."""
-        ids = [i for part in self.word(word.encode("utf-8")) for i in part]
-        found = (len(ids), b" ".join(b"%d" % i for i in ids), b" ".join(self.surface[i] for i in ids))
+        found = self.older.get(word)
+        if found is None:
+            raw = word.encode("utf-8")
+            if len(raw) < self.window:
+                ids = self.merge([*map(self.bare.__getitem__, raw[:-1]), self.last[raw[-1]]])
+            else:
+                ids = [i for part in self.word(raw) for i in part]
+            decimal, surface = self.decimal, self.surface
+            found = (len(ids), b" ".join([decimal[i] for i in ids]), b" ".join([surface[i] for i in ids]))
         if len(word) <= 64:
             if len(self.cache) >= CACHE:
+                self.older = dict(self.cache)
                 self.cache.clear()
             self.cache[word] = found
         return found
