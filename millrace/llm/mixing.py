@@ -149,12 +149,14 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, weights=WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 8) -> DataFrame:
     """The rows of ``docs`` that the mix takes, repeated as often as it takes them."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    rows = materialize(slim_rows(docs, id_col, text_col, source_col, seed, [row]), "mix-sizes")
+    # Rows get a number that is written down with them; all but the last join is on numbers and sizes.
+    whole = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
+    rows = materialize(slim_rows(whole, id_col, text_col, source_col, seed, [F.col("_mix_row")]), "mix-sizes")
     mixed = take(rows, block, weights, share, most)
     copies = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(F.expr("(2 * taken + size) div (2 * size)"))
-    times = mixed.withColumn("_copies", copies).where("_copies > 0")
-    return times.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("doc.*")
+    times = mixed.select("_mix_row", copies.alias("_mix_copies")).where("_mix_copies > 0")
+    numbered = whole.join(times, "_mix_row").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
+    return numbered.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
