@@ -32,7 +32,7 @@ from millrace.llm.arrow import map_batches
 from millrace.llm.dom import INLINE, Tree, parse
 
 STATES = "MCB"
-TRAIN_PAGES = 600
+TRAIN_PAGES = 1000
 SEED = 3
 #: Words of class, id and role that say what an element is.
 WORDS = {
@@ -49,6 +49,9 @@ WORDS = {
 }
 GROUP = {w: g for g, ws in WORDS.items() for w in ws.split()}
 TAGS = frozenset("html head body div section article main nav header footer aside form ul ol li p h1 h2 h3 h4 h5 h6 a b i em strong span table tr td th blockquote pre figure figcaption dl dt dd button br hr img label input title script style".split())
+FRAMES = frozenset("header footer aside nav section div form article main".split())
+#: Weights of evidence: features of a node repeat each other, words of class and id less than the rest.
+WEIGHT = defaultdict(lambda: 0.7, {"word": 1.5})
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MARKS = re.compile(r"[.!?;,]")
 FORM = frozenset("form input button label select textarea option".split())
@@ -77,9 +80,13 @@ def features(tree: Tree) -> list[list]:
     for i in range(n):
         share = -1 if not size[i] else min(4, linked[i] * 5 // size[i])
         dense = 0 if not size[i] else min(3, marks[i] * 40 // size[i])
-        own = [("size", min(12, size[i].bit_length())), ("link", share), ("marks", dense)]
-        if tree.tag[i] is not None:
-            own += [("tag", tree.tag[i] if tree.tag[i] in TAGS else "other"), ("form", form[i])]
+        own = [("link", share)]
+        if tree.tag[i] is not None:  # a piece of text goes by its element, whose amounts it has
+            own += [("size", min(12, size[i].bit_length())), ("marks", dense)]
+            own += [("tag", tree.tag[i] if tree.tag[i] in TAGS else "other"), ("form", form[i] and size[i] < 400)]
+            if tree.tag[i] in FRAMES:
+                out_tag = tree.tag[tree.parent[i]]
+                own.append(("under", tree.tag[i], out_tag if out_tag in FRAMES or out_tag == "body" else "other"))
             if tree.names[i]:
                 groups = {GROUP[t] for t in map(str.lower, TOKEN.findall(tree.names[i])) if t in GROUP}
                 own += [("word", g) for g in groups or {"unknown"}]
@@ -113,7 +120,7 @@ class Model:
                     seen[f][label[i]] += 1
                 if i:
                     pairs[tree.tag[i] is None][label[p]][label[i]] += 1
-        node = {f: [math.log(c / s) for c, s in zip(counts, states)] for f, counts in seen.items()}
+        node = {f: [WEIGHT[f[0]] * math.log(c / s) for c, s in zip(counts, states)] for f, counts in seen.items()}
         edge = {k: [[x / sum(row) for x in row] for row in table] for k, table in pairs.items()}
         return cls(node, edge)
 
@@ -217,7 +224,7 @@ def labelled_page(r: random.Random) -> str:
         if kind == "nav":
             return block("nav nav div ul", "nav", links())
         if kind == "head":
-            return block("header header div", "head", f"<a href='/'>{word()}</a> <h1>{word()}</h1>" * (r.random() < 0.5) + f"<p>{sentence(2, 8)}</p>" * (r.random() < 0.6) + links(0, 5))
+            return block("header header div", "head", f"<a href='/'>{word()}</a> " * (r.random() < 0.5) + f"<h1>{word()} {word()}</h1>" * (r.random() < 0.6) + f"<p>{sentence(2, 8)}</p>" * (r.random() < 0.7) + links(0, 5) * (r.random() < 0.5))
         if kind == "foot":
             return block("footer footer div", "foot", f"&copy; {word()}.example {sentence(2, 9)}" + links(0, 6) * (r.random() < 0.5))
         if kind == "side":
@@ -238,8 +245,11 @@ def labelled_page(r: random.Random) -> str:
 
     def part() -> str:
         x = r.random()
-        if x < 0.50:
+        if x < 0.43:
             return f"<p>{prose()}</p>"
+        if x < 0.50:
+            tag = r.choice(["b", "b", "strong", "em", "i", "span"])
+            return f"<p><{tag}>{prose()}{r.choice([f'</{tag}></p>', '<br>'])}"
         if x < 0.60:
             return f"<p>{' '.join(word() for _ in range(r.choice([1, 1, 2, 5, 30])))}</p>"
         if x < 0.74:
@@ -261,9 +271,9 @@ def labelled_page(r: random.Random) -> str:
     title = f"<h1>{sentence(2, 10)}</h1>"
     parts = [part() for _ in range(r.choice([0, 1, 2, 3, 4, 6, 9, 14, 25]))]
     if r.random() < 0.9:
-        parts.insert(0, f"<header>{title}</header>" if r.random() < 0.1 else title)
+        parts.insert(0, f"<header>{title}</header>" if r.random() < 0.05 else title)
     for _ in range(r.choice([0, 0, 0, 1, 1, 2])):
-        parts.insert(r.randint(0, len(parts)), junk(r.choice("ad note share related form side talk".split())))
+        parts.insert(r.randint(0, len(parts)), junk(r.choice("ad ad ad note share related form side talk".split())))
     tag = r.choice("article article article main div div section td".split())
     own = named(WORDS["body"]) if tag in ("div", "section", "td") and r.random() < 0.9 or r.random() < 0.3 else ""
     article = f'<{tag} data-y="C"{own}>{"".join(parts)}</{tag}>'
