@@ -11,22 +11,23 @@ representative. Then, over representatives:
    values held by one sketch make none. Common shingles fall out by that.
 2. Union-sketch filter. In a list, pairs whose sizes or whose estimate from the
    smallest values of the union of both sketches rule out a link are dropped.
-   No pair is written: a document that has a pair left is a member of the list.
-3. Exact Jaccard. Members' full sets meet once in each list; all intersections
-   of a list come from products of 0/1 matrices; links go out as a star for
-   each group, so a list of n documents gives n - 1 rows at most.
+   What is left in a list goes out as a few rows for each document at most, and
+   the components of these rows are the clusters: linked documents are in one.
+3. Exact Jaccard. A document's full set goes to its cluster only; all
+   intersections come from products of 0/1 matrices; links go out as a star for
+   each group, so n documents give n - 1 rows at most.
 4. Components of the links, by rounds of minimum labels.
 
-A list of more than ``CELL`` documents is cut into blocks and its block pairs
-are dealt over tasks, so no list has to fit a task and none is capped.
+A list or cluster of more than ``CELL`` documents is cut into blocks and its
+block pairs are dealt over tasks, so none has to fit a task and none is capped.
 
 Sets are of 64-bit hashes; in a pair of sets of 20,000 shingles two different
 shingles agree with a chance of 1e-10.
 
 Defined results: a null text or one without words has the empty set, links
 with nothing and is kept; a text with fewer words than a shingle is one
-shingle; repeated rows get equal values; a null id is linked with nothing and
-kept; an empty table gives no rows; other columns are ignored by ``near_groups``
+shingle; repeated rows get equal values; rows with one id
+count as one document; a null id is linked with nothing and kept; an empty table gives no rows; other columns are ignored by ``near_groups``
 and kept by ``drop_near_copies``.
 """
 
@@ -46,9 +47,9 @@ from millrace.storage import materialize
 
 K = 32
 LEAST_SHARED = 13
-#: Values used for the union-sketch filter, and how many of them must be shared.
-K_FILTER, LEAST_IN_UNION = 16, 3
 CELL = 2048
+#: Lists up to this size give all their pairs at once, larger ones are searched breadth first.
+SMALL_LIST = 8
 #: Bits of the filter of ids whose sets are wanted: 2 MB for any corpus.
 FILTER_BITS = 24
 WORD_CACHE = 1 << 18
@@ -116,7 +117,7 @@ def list_rows(reps: DataFrame) -> DataFrame:
     # Whole sets of up to 26 shingles only meet whole sets, for which the bound is exact.
     least = F.when(n * 5 <= K * 4 + 2, F.ceil(n * 4 / 5)).otherwise(F.least(F.lit(LEAST_SHARED), F.ceil(n * 4 / 5)))
     room = size - least + 1 - (size - F.size("found"))
-    kept = reps.join(shared, "id").select("id", "n", F.slice("sketch", 1, K_FILTER).alias("low"), F.slice("found", F.lit(1), F.greatest(room, F.lit(0)).cast("int")).alias("found"))
+    kept = reps.join(shared, "id").select("id", "n", F.transform("sketch", lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("low"), F.slice("found", F.lit(1), F.greatest(room, F.lit(0)).cast("int")).alias("found"))
     return kept.select("id", "n", "low", F.explode("found").alias("f")).select(F.col("f.v").alias("v"), F.col("f.df").alias("df"), "id", "n", "low")
 
 
@@ -160,55 +161,72 @@ def _bounds(table: pa.Table, keys: int) -> np.ndarray:
     return np.append(np.flatnonzero(change), table.num_rows)
 
 
-def _pairs(bounds: np.ndarray, side: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs to compare in each group: both sides of its cell; in pieces of about ``most``."""
-    left, right, held = [], [], 0
-    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        for a in range(s, e - 1):
-            b = np.arange(a + 1, e)
-            if side[a] != 2:
-                b = b[side[b] != side[a]]
-            left.append(np.full(len(b), a))
-            right.append(b)
-            held += len(b)
-            if held >= most:
-                yield np.concatenate(left), np.concatenate(right)
-                left, right, held = [], [], 0
-    if held:
-        yield np.concatenate(left), np.concatenate(right)
-
-
 def in_union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of each row pair of sketches: how many of the union's smallest values are in both."""
+    """Of each row pair of sketches: how many of the union's ``K`` smallest values are in both."""
     s = np.sort(np.concatenate([a, b], axis=1), axis=1)
     twice = s[:, 1:] == s[:, :-1]
     place = 1 + np.cumsum(~twice, axis=1)
-    return (twice & (place <= K_FILTER)).sum(axis=1)
+    return (twice & (place <= K)).sum(axis=1)
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """v, i, j, side, id of entries that have a pair left after the filters; rows come sorted by v, i, j."""
-    for table in _groups(batches, 3):
-        n = table.column("n").to_numpy()
-        side = table.column("side").to_numpy()
-        low = np.full((table.num_rows, K_FILTER), -1, dtype=np.int64)
-        flat, off = (c := table.column("low").combine_chunks()).flatten().to_numpy().view(np.uint64), c.offsets.to_numpy() - c.offsets[0].as_py()
+class _Entries:
+    """The entries of some lists: sizes, sides and sketches, filled up with values that no sketch has twice."""
+
+    def __init__(self, table: pa.Table):
+        self.n = table.column("n").to_numpy()
+        self.side = table.column("side").to_numpy()
+        self.ids = table.column("id").to_numpy()
+        low = table.column("low").combine_chunks()
+        off = low.offsets.to_numpy()
+        flat = low.values.to_numpy()[off[0] : off[-1]].view(np.uint32).astype(np.int64)
         lens = np.diff(off)
-        low = np.repeat(np.arange(1, table.num_rows + 1, dtype=np.uint64)[:, None] * _M(K_FILTER), K_FILTER, axis=1) + np.arange(K_FILTER, dtype=np.uint64)
-        low |= _M(0xFFFFFFFF00000000)
-        low[np.repeat(np.arange(table.num_rows), lens), np.arange(len(flat)) - np.repeat(off[:-1], lens)] = flat
-        live = np.zeros(table.num_rows, dtype=bool)
-        for a, b in _pairs(_bounds(table, 3), side):
-            fit = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * 80
-            a, b = a[fit], b[fit]
-            for k in range(0, len(a), 1 << 15):
-                x, y = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-                least = np.minimum(LEAST_IN_UNION, np.ceil(np.minimum(n[x], n[y]) * 0.8))
-                good = in_union(low[x], low[y]) >= least
-                live[x[good]] = True
-                live[y[good]] = True
-        kept = table.filter(pa.array(live)).select(["v", "i", "j", "side", "id"])
-        yield from kept.combine_chunks().to_batches()
+        rows = np.arange(table.num_rows)
+        self.low = (1 << 40) + rows[:, None] * K + np.arange(K)
+        self.low[np.repeat(rows, lens), np.arange(len(flat)) - np.repeat(off[:-1] - off[0], lens)] = flat
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of entries may be linked."""
+        x, y = self.n[a], self.n[b]
+        out = (np.minimum(x, y) * 100 >= np.maximum(x, y) * 80) & ((self.side[a] == 2) | (self.side[a] != self.side[b]))
+        on = np.flatnonzero(out)
+        least = np.minimum(LEAST_SHARED, np.ceil(np.minimum(x, y) * 0.8))
+        for k in range(0, len(on), 1 << 14):
+            p = on[k : k + (1 << 14)]
+            out[p] = in_union(self.low[a[p]], self.low[b[p]]) >= least[p]
+        return out
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b: pairs that connect what may be linked in each list's cell. Rows come sorted by v, i, j."""
+    for table in _groups(batches, 3):
+        own = _Entries(table)
+        bounds = _bounds(table, 3)
+        sizes = np.diff(bounds)
+        left, right = [], []
+        for size in range(2, SMALL_LIST + 1):
+            starts = bounds[:-1][sizes == size]
+            if len(starts):
+                i, j = np.triu_indices(size, 1)
+                a, b = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
+                keep = own.near(a, b)
+                left.append(a[keep])
+                right.append(b[keep])
+        for s, e in zip(bounds[:-1][sizes > SMALL_LIST].tolist(), bounds[1:][sizes > SMALL_LIST].tolist()):
+            todo = np.arange(s, e)
+            queue: list[int] = []
+            while len(todo):
+                if not queue:
+                    queue, todo = [int(todo[0])], todo[1:]
+                x = queue.pop()
+                keep = own.near(np.full(len(todo), x), todo)
+                found, todo = todo[keep], todo[~keep]
+                queue += found.tolist()
+                left.append(np.full(len(found), x))
+                right.append(found)
+        if left:
+            a, b = own.ids[np.concatenate(left)], own.ids[np.concatenate(right)]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -301,11 +319,14 @@ def links(docs: DataFrame, reps: DataFrame, width: int, id_col: str, text_col: s
     """Edges (a, b) between representatives (id, n, sketch) that give the components of all links."""
     ship(docs.sparkSession)
     entries = cells(list_rows(reps)).select("v", "i", "j", "side", "id", "n", "low")
-    members = materialize(_in_cells(entries).mapInArrow(_members, "v long, i int, j int, side int, id long"), "neardup-members")
-    sets = set_rows(docs, members.select("id").distinct(), width, id_col, text_col)
-    # A repeated id has one set in its class's name: the class's representative.
-    one = members.select("id").distinct().join(sets, "id").groupBy("id").agg(F.first("set").alias("set"))
-    full = members.join(materialize(one, "neardup-sets"), "id").select("v", "i", "j", "side", "id", "set")
+    near = _in_cells(entries).mapInArrow(_candidates, "a long, b long")
+    cluster = components(near).select("id", F.col("label").alias("v"))
+    sizes = cluster.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
+    members = cells(cluster.join(sizes, "v")).select("v", "i", "j", "side", "id")
+    sets = set_rows(docs, cluster.select("id"), width, id_col, text_col)
+    # A repeated id may have several texts; its rows are one document's.
+    one = sets.groupBy("id").agg(F.collect_set("set").alias("sets"))
+    full = members.join(one, "id").select("v", "i", "j", "side", "id", F.explode("sets").alias("set"))
     return materialize(_in_cells(full).mapInArrow(_links, "a long, b long"), "neardup-links")
 
 
