@@ -197,7 +197,7 @@ class _Entries:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b: pairs that connect what may be linked in each list's cell. Rows come sorted by v, i, j."""
+    """a, b: stars that connect what may be linked in each list's cell. Rows come sorted by v, i, j."""
     for table in _groups(batches, 3):
         own = _Entries(table)
         bounds = _bounds(table, 3)
@@ -224,8 +224,17 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left.append(np.full(len(found), x))
                 right.append(found)
         if left:
-            a, b = own.ids[np.concatenate(left)], own.ids[np.concatenate(right)]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            # The least id of what hangs together in a list: lists of one group give the same few pairs.
+            a, b = np.concatenate(left), np.concatenate(right)
+            label = own.ids.copy()
+            while True:
+                least = np.minimum(label[a], label[b])
+                if (least == label[a]).all() and (least == label[b]).all():
+                    break
+                np.minimum.at(label, a, least)
+                np.minimum.at(label, b, least)
+            on = label != own.ids
+            pairs = np.unique(np.stack([label[on], own.ids[on]], axis=1), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
