@@ -34,7 +34,7 @@ from millrace.storage import materialize
 BLOCK = 64
 #: Targets in whole parts of a word.
 PART = 1024
-CHUNK = 1 << 14
+CHUNK = 1 << 12
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -76,13 +76,19 @@ def mirrored(x: Column, bits: int) -> Column:
 
 
 def rank_in_interval(x: Column, first: Column, end: Column, bits: int) -> Column:
-    """How many y in [first, end) have a smaller mirror image than x."""
-    total = F.lit(0).cast("long")
-    for j in range(bits):
-        step, low = 1 << (j + 1), x.bitwiseAND(F.lit((1 << j) - 1))
-        n = F.shiftrightunsigned(end - 1 - low + step, j + 1) - F.shiftrightunsigned(first - 1 - low + step, j + 1)
-        total = total + F.when(F.shiftrightunsigned(x, j).bitwiseAND(F.lit(1)) == 1, n).otherwise(F.lit(0))
-    return total
+    """How many y in [first, end) have a smaller mirror image than x.
+
+    These agree with x in the lowest j digits and have 0 where x has 1 next,
+    for some j: for each j a count of whole numbers of one rest.
+    """
+
+    def add(total: Column, j: Column) -> Column:
+        rest = lambda n: F.call_function("shiftrightunsigned", n - 1 - low + step, j + 1)
+        step = F.call_function("shiftleft", F.lit(2).cast("long"), j)
+        low = x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), j) - 1)
+        return total + F.when(F.bit_get(x, j) == 1, rest(end) - rest(first)).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate(F.array(*[F.lit(j) for j in range(bits)]).cast("array<int>"), F.lit(0).cast("long"), add)
 
 
 def schedule(targets: DataFrame, block: int = BLOCK, most: int = 2) -> DataFrame:
@@ -95,7 +101,9 @@ def schedule(targets: DataFrame, block: int = BLOCK, most: int = 2) -> DataFrame
     up = lambda c: F.expr(f"({c} + {unit - 1}) div {unit}")
     own = placed.select("nul", "src", up("at").alias("first"), up("at + parts").alias("end"), F.expr(f"(source_size + {block - 1}) div {block}").alias("blocks"))
     chunks = own.where("end > first").select("*", F.explode(F.sequence(F.col("first"), F.col("end") - 1, F.lit(CHUNK).cast("long"))).alias("from"))
-    dealt = chunks.repartition(F.xxhash64("nul", "src", "from"))
+    # A number of partitions, since Spark would otherwise put these few rows, which grow a thousandfold, into one task.
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(tasks, "nul", "src", "from")
     points = dealt.select("*", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + CHUNK, F.col("end")) - 1)).alias("x"))
     ranked = points.select("nul", "src", "blocks", mirrored(F.col("x"), bits).alias("slot"), rank_in_interval(F.col("x"), F.col("first"), F.col("end"), bits).alias("rank"))
     return ranked.where(F.col("rank") < F.col("blocks") * most).select(
@@ -125,8 +133,9 @@ def take(rows: DataFrame, block: int, weights, share: float, most: int) -> DataF
     targets, _ = source_targets(rows, weights, share, float(most))
     targets = materialize(targets, "mix-shares")
     placed = materialize(placed_rows(rows, targets), "mix-placed")
+    # Spark takes the schedule, made from a few rows, for small: it must not be broadcast.
     used = schedule(targets, block, most).groupBy("nul", "src", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = pieces(placed, block).join(used, ["nul", "src", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = pieces(placed, block).join(used.hint("merge"), ["nul", "src", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return placed.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
