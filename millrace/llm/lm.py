@@ -1,20 +1,29 @@
 """Language-model scores from a log-bilinear neural model.
 
-The model predicts a token's class from the two classes before it: the words of
-a shortlist, one class for all other words, and the end. The prediction is a
-weighted sum of the context's vectors, and a class's score its product with the
-class's vector plus a bias. Training is noise-contrastive: a batch's targets
-against noise classes drawn from the class counts and shared by the batch, with
-Adagrad steps, in numpy. Every task trains on its own part of the training
-tokens, all of them, from one start, and the weighted mean of the tasks' models
-is the model. Scores are normalised: the sum over all classes is a matrix
-product over the distinct contexts of a piece, and is kept by context. Within
-the class of other words a word has its share of counts with one added, with
-one share for all unknown words, so the chances of all tokens sum to 1.
+The model predicts a token's class from the two classes before it. The end and
+each of the most common words are classes of their own; every other word, known
+or not, is in one of the cells of a hash, which are classes too. Both numbers
+follow the corpus: ``OWN`` times the square root of its tokens, cells up to as
+many, so that the model grows with the input and still fits a task. Classes in
+order of their counts are cut into groups, about as many as a group has
+classes. The chance of a class is that of its group times that of the class
+within it; both are log-bilinear: the product of a weighted sum of the
+context's vectors with the vector of the group or class, plus a bias.
+
+Training is noise-contrastive: a batch's groups against noise groups drawn from
+the counts and shared by the batch, and each class against classes drawn from
+its group, whose counts are alike, with Adagrad steps, in numpy. A task trains
+on its own part of the training tokens, all of them, from one start, and hands
+on the vectors that it changed; a vector's value in the model is their mean by
+the number of times it was changed. Scores are normalised by matrix products,
+over all groups and over all classes of the token's group. Within its cell a
+word has its share of counts with one added, with one share for all unknown
+words of the cell, so the chances of all tokens sum to 1.
 
 Counts of all training tokens are grouped sums. The ``HEAD`` most common words
-at most go to every task with their counts; the tokens of other words, a small
-part, meet their counts in a join.
+(or the words with classes of their own, if these are more) go to every task
+with their counts; the tokens of other words, a small part, meet their counts in
+a join.
 
 Defined results: a null text is the empty text and has one token, the end; a
 null id is counted as the empty id, which is in training; repeated rows get
@@ -24,6 +33,7 @@ equal values; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,15 +47,20 @@ from millrace.llm.arrow import ROWS_A_PIECE
 from millrace.session import ship
 from millrace.storage import materialize
 
-SHORTLIST = 1022
+#: Words with classes of their own: this times the square root of the tokens.
+OWN = 4
 HEAD = 1 << 17
 WIDTH = 32
 NOISE = 64
+#: Noise classes for each token, from the group of its class.
+NOISE_INSIDE = 2
 BATCH = 4096
 RATE = 0.1
 SEED = 5
 #: Words whose counts a task holds before it hands them on.
 HELD = 1 << 19
+#: Splits of the input that one training task reads, if there are more than enough for the cores.
+SPLITS = 8
 END, OTHER = 0, 1
 LOG10 = math.log(10)
 
@@ -80,21 +95,45 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def cell_of(words: list[bytes], cells: int) -> np.ndarray:
+    """Class of each word that has none of its own."""
+    return np.array([OTHER + zlib.crc32(w) % cells for w in words], dtype=np.int64)
+
+
+def own_words(tokens: int) -> int:
+    return math.ceil(OWN * math.sqrt(tokens))
+
+
 class Vocabulary:
-    """The most common words, with counts, and what is known of all others."""
+    """The most common words, with counts, and what is known of all others: the end is class 0, then come the cells and the words."""
 
     def __init__(self, words: list[str], counts: list[int], tokens: int, kinds: int, ends: int):
         order = sorted(range(len(words)), key=lambda k: (-counts[k], words[k]))
         self.words = [words[k].encode("utf-8") for k in order]
         self.counts = np.array([counts[k] for k in order], dtype=np.int64)
         self.tokens, self.kinds, self.ends = tokens, kinds, ends
-        n = min(SHORTLIST, len(words))
-        self.classes = n + 2
-        self.class_of = np.where(np.arange(len(words)) < n, np.arange(len(words)) + 2, OTHER)
-        self.other_tokens = tokens - ends - int(self.counts[:n].sum())
-        self.other_kinds = kinds - n - (ends > 0)
-        self.class_counts = np.concatenate([[ends, self.other_tokens], self.counts[:n]]).astype(np.float64)
-        self.index: dict[bytes, int] | None = None
+        self.own = n = min(own_words(tokens), len(words))
+        other_kinds = kinds - n - (ends > 0)
+        self.cells = max(1, min(n, other_kinds))
+        self.classes = 1 + self.cells + n
+        self.class_of = np.concatenate([np.arange(n) + 1 + self.cells, cell_of(self.words[n:], self.cells)])
+        self.cell_tokens = np.bincount(self.class_of[n:] - OTHER, weights=self.counts[n:], minlength=self.cells)
+        self.cell_kinds = np.bincount(self.class_of[n:] - OTHER, minlength=self.cells).astype(np.float64)
+        self.unlisted = tokens - ends - int(self.counts.sum()), other_kinds - (len(words) - n)
+        if self.cells == 1:
+            self.add_tail([(0, *self.unlisted)])
+
+    def add_tail(self, rows: list[tuple[int, int, int]]) -> None:
+        """Adds (cell, tokens, kinds) of words that aren't in the list."""
+        for cell, tokens, kinds in rows:
+            self.cell_tokens[cell] += tokens
+            self.cell_kinds[cell] += kinds
+
+    @property
+    def class_counts(self) -> np.ndarray:
+        return np.concatenate([[self.ends], self.cell_tokens, self.counts[: self.own]]).astype(np.float64)
+
+    index: dict[bytes, int] | None = None
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Place of each word in the list, -1 if it isn't there."""
@@ -105,57 +144,96 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, ends: int, head: int = HEAD) -> tuple[Vocabulary, int]:
-    """The vocabulary, and the count from which words are in its list (at most ``head``)."""
+    """The vocabulary, and the count from which words are in its list (at most ``head``, or the own words)."""
     step = F.floor(F.log2("c") * 16)
     bins = sorted(((int(s), int(n), int(c)) for s, n, c in counts.groupBy(step).agg(F.count(F.lit(1)), F.sum("c")).collect()), reverse=True)
-    total, kinds, room, least = sum(b[2] for b in bins), sum(b[1] for b in bins), head, None
+    total, kinds, least = sum(b[2] for b in bins), sum(b[1] for b in bins), None
+    room = max(head, own_words(total + ends))
     for s, n, _ in bins:
         if n > room:
             break
         room, least = room - n, s
     common = counts.where(step >= least).collect() if least is not None else []
     found = Vocabulary([r.word for r in common], [r.c for r in common], total + ends, kinds + (ends > 0), ends)
-    return found, least if least is not None else 1 << 30
+    least = least if least is not None else 1 << 30
+    if found.cells > 1:
+        cell = F.crc32(F.col("word").cast("binary")) % found.cells
+        rows = counts.where(step < least).groupBy(cell.cast("int").alias("cell")).agg(F.sum("c"), F.count(F.lit(1))).collect()
+        found.add_tail([tuple(r) for r in rows])
+    return found, least
+
+
+class Groups:
+    """Classes in order of counts, cut into groups of about equal sums of the counts' square roots."""
+
+    def __init__(self, class_counts: np.ndarray):
+        n = len(class_counts)
+        order = np.argsort(-class_counts, kind="stable")
+        self.rank = np.empty(n, dtype=np.int64)
+        self.rank[order] = np.arange(n)
+        mass = np.sqrt(class_counts[order] + 1)
+        k = math.ceil(math.sqrt(n))
+        part = np.minimum(((np.cumsum(mass) - mass / 2) / mass.sum() * k).astype(np.int64), k - 1)
+        self.edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, n]
+        group = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        self.group_of = group[self.rank]
+        share = class_counts[order] + 1
+        own = np.add.reduceat(share, self.edges[:-1])
+        self.noise = own / own.sum()
+        self.inside = share / own[group]
 
 
 class Model:
-    """Parameters: context vectors, class vectors, biases and a weight vector for each place of the context."""
+    """Parameters: context vectors, vectors and biases of groups and of classes (in the groups' order), and a weight vector for each place of the context."""
 
-    def __init__(self, parts: list[np.ndarray]):
-        self.context, self.target, self.bias, self.place = parts
-        n = len(self.bias)
-        self.norms = np.full((n, n), np.nan, dtype=np.float32)
+    def __init__(self, groups: Groups, parts: list[np.ndarray]):
+        self.groups = groups
+        self.context, self.target, self.bias, self.place, self.inner, self.inner_bias = parts
 
     @classmethod
-    def start(cls, noise: np.ndarray, width: int = WIDTH, seed: int = SEED) -> Model:
+    def start(cls, groups: Groups, width: int = WIDTH, seed: int = SEED) -> Model:
         r = np.random.default_rng(seed)
-        n = len(noise)
-        draw = lambda: (r.standard_normal((n, width)) * 0.1).astype(np.float32)
-        return cls([draw(), draw(), np.log(noise).astype(np.float32), np.array([[0.5], [1.0]], dtype=np.float32).repeat(width, axis=1)])
+        draw = lambda n: r.standard_normal((n, width), dtype=np.float32) * np.float32(0.1)
+        n, k = len(groups.rank), len(groups.noise)
+        place = np.array([[0.5], [1.0]], dtype=np.float32).repeat(width, axis=1)
+        return cls(groups, [draw(n), draw(k), np.log(groups.noise).astype(np.float32), place, draw(n), np.log(groups.inside).astype(np.float32)])
 
     @property
     def parts(self) -> list[np.ndarray]:
-        return [self.context, self.target, self.bias, self.place]
+        return [self.context, self.target, self.bias, self.place, self.inner, self.inner_bias]
 
     def predicted(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
         return self.place[0] * self.context[two] + self.place[1] * self.context[one]
 
     def log_chances(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the normalised chance of each target after classes ``two``, ``one``."""
-        n = len(self.bias)
-        code = two * n + one
-        norms = self.norms.reshape(-1)
-        new = np.unique(code[np.isnan(norms[code])])
-        for k in range(0, len(new), 2048):
-            c = new[k : k + 2048]
-            s = self.predicted(c // n, c % n) @ self.target.T + self.bias
+        edges = self.groups.edges
+        group, at = self.groups.group_of[target], self.groups.rank[target]
+        order = np.argsort(group, kind="stable")
+        q = self.predicted(two[order], one[order])
+        group, at = group[order], at[order]
+        logs = np.empty(len(target))
+
+        def chosen(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, k: np.ndarray) -> np.ndarray:
+            s = q @ vectors.T
+            s += bias
+            own = s[np.arange(len(k)), k]
             most = s.max(axis=1)
-            norms[c] = most + np.log(np.exp(s - most[:, None]).sum(axis=1))
+            s -= most[:, None]
+            return own - most - np.log(np.exp(s, out=s).sum(axis=1))
+
+        for k in range(0, len(target), 2048):
+            p = slice(k, k + 2048)
+            logs[p] = chosen(q[p], self.target, self.bias, group[p])
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
+        for lo, hi in zip(first, [*first[1:], len(group)]):
+            a, b = edges[group[lo]], edges[group[lo] + 1]
+            if b - a > 1:
+                for k in range(lo, hi, 2048):
+                    p = slice(k, min(k + 2048, hi))
+                    logs[p] += chosen(q[p], self.inner[a:b], self.inner_bias[a:b], at[p] - a)
         out = np.empty(len(target))
-        for k in range(0, len(target), 1 << 15):
-            p = slice(k, k + (1 << 15))
-            score = np.einsum("ij,ij->i", self.predicted(two[p], one[p]), self.target[target[p]]) + self.bias[target[p]]
-            out[p] = score - norms[code[p]]
+        out[order] = logs
         return out
 
 
@@ -163,11 +241,13 @@ class Trainer:
     """Noise-contrastive estimation with Adagrad."""
 
     def __init__(self, class_counts: np.ndarray, seed: int = SEED):
-        self.noise = (class_counts + 1) / (class_counts + 1).sum()
-        self.log_noise = np.log(self.noise * NOISE).astype(np.float32)
-        self.edges = np.cumsum(self.noise)
-        self.model = Model.start(self.noise, seed=seed)
-        self.sums = [np.full(p.shape, 1e-4, dtype=np.float32) for p in self.model.parts]
+        self.groups = Groups(class_counts)
+        self.log_noise = np.log(self.groups.noise * NOISE).astype(np.float32)
+        self.edges = np.cumsum(self.groups.noise)
+        self.model = Model.start(self.groups, seed=seed)
+        # Groups and weights take the mean gradient of a batch, vectors of classes its sum: a rare class is in few batches.
+        self.sums = [np.full(p.shape, 1e-4 if k in (1, 2, 3) else 1.0, dtype=np.float32) for k, p in enumerate(self.model.parts)]
+        self.times = [np.zeros(self.model.context.shape[0], dtype=np.int64) for _ in range(2)]
         self.r = np.random.default_rng(seed + 1)
         self.seen = 0
 
@@ -179,25 +259,56 @@ class Trainer:
         out[at[first]] = np.add.reduceat(g, first, axis=0)
         return out
 
+    def _step(self, k: int, g: np.ndarray, rows=slice(None)) -> None:
+        p, s = self.model.parts[k], self.sums[k]
+        sums = s[rows] + g * g
+        s[rows] = sums
+        p[rows] -= RATE * g / np.sqrt(sums)
+
+    def _sparse(self, at: np.ndarray, times: np.ndarray, *pairs: tuple[int, np.ndarray]) -> None:
+        """Steps of the rows ``at``, each taken once: (part, gradient of each entry)."""
+        at, order = np.divmod(np.sort(at * len(at) + np.arange(len(at))), len(at))
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        rows = at[first]
+        times[rows] += np.diff(np.r_[first, len(at)])
+        for k, g in pairs:
+            self._step(k, np.add.reduceat(g[order], first, axis=0), rows)
+
     def batch(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> None:
-        m, n = self.model, len(self.noise)
+        m, groups = self.model, self.groups
+        n = len(groups.noise)
+        group = groups.group_of[target]
         drawn = np.minimum(np.searchsorted(self.edges, self.r.random(NOISE)), n - 1)
         q = m.predicted(two, one)
-        true = np.einsum("ij,ij->i", q, m.target[target]) + m.bias[target] - self.log_noise[target]
+        true = np.einsum("ij,ij->i", q, m.target[group]) + m.bias[group] - self.log_noise[group]
         false = q @ m.target[drawn].T + m.bias[drawn] - self.log_noise[drawn]
         size = np.float32(1 / len(target))
-        g_true = ((1 / (1 + np.exp(-np.clip(true, -30, 30)))) - 1).astype(np.float32) * size
-        g_false = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32) * size
-        g_q = g_true[:, None] * m.target[target] + g_false @ m.target[drawn]
-        g_target = self._rows(target, g_true[:, None] * q, n)
+        g_true = ((1 / (1 + np.exp(-np.clip(true, -30, 30)))) - 1).astype(np.float32)
+        g_false = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32)
+        g_q = g_true[:, None] * m.target[group] + g_false @ m.target[drawn]
+        g_target = self._rows(group, g_true[:, None] * q, n)
         np.add.at(g_target, drawn, g_false.T @ q)
-        g_bias = np.bincount(target, weights=g_true, minlength=n).astype(np.float32)
+        g_bias = np.bincount(group, weights=g_true, minlength=n).astype(np.float32)
         np.add.at(g_bias, drawn, g_false.sum(axis=0))
-        g_context = self._rows(two, g_q * m.place[0], n) + self._rows(one, g_q * m.place[1], n)
+
+        wide = groups.edges[group + 1] - groups.edges[group]
+        pick = np.flatnonzero(wide > 1)
+        if len(pick):
+            wide = wide[pick]
+            noise = groups.edges[group[pick]][:, None] + (self.r.random((len(pick), NOISE_INSIDE), dtype=np.float32) * wide[:, None]).astype(np.int64)
+            noise = np.minimum(noise, groups.edges[group[pick] + 1][:, None] - 1)
+            at = np.concatenate([groups.rank[target[pick]][:, None], noise], axis=1)
+            vectors, own = m.inner[at], q[pick]
+            s = np.matmul(vectors, own[:, :, None])[:, :, 0] + m.inner_bias[at] - np.log(NOISE_INSIDE / wide).astype(np.float32)[:, None]
+            g = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
+            g[:, 0] -= 1
+            g_q[pick] += np.matmul(g[:, None, :], vectors)[:, 0]
+            self._sparse(at.ravel(), self.times[1], (4, (g[:, :, None] * own[:, None, :]).reshape(-1, own.shape[1])), (5, g.ravel()))
+
         g_place = np.stack([(g_q * m.context[two]).sum(axis=0), (g_q * m.context[one]).sum(axis=0)])
-        for p, s, g in zip(m.parts, self.sums, (g_context, g_target, g_bias, g_place)):
-            s += g * g
-            p -= RATE * g / np.sqrt(s)
+        self._sparse(np.concatenate([two, one]), self.times[0], (0, np.concatenate([g_q * m.place[0], g_q * m.place[1]])))
+        for k, g in ((1, g_target), (2, g_bias), (3, g_place)):
+            self._step(k, g * size)
         self.seen += len(target)
 
     def learn(self, classes: np.ndarray) -> None:
@@ -217,16 +328,26 @@ def class_run(vocab: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, n
     place = np.full(len(words) + len(texts), -2, dtype=np.int64)
     inside = np.ones(len(place), dtype=bool)
     inside[ends] = False
-    place[inside] = vocab.places(words)
+    place[inside] = found = vocab.places(words)
     listed = vocab.class_of if len(vocab.class_of) else np.array([OTHER])
-    class_ = np.where(place >= 0, listed[np.maximum(place, 0)], np.where(place == -2, END, OTHER))
+    class_ = np.where(place >= 0, listed[np.maximum(place, 0)], END)
+    class_[place == -1] = cell_of([words[k] for k in np.flatnonzero(found == -1)], vocab.cells)
     return place, class_, ends
 
 
 def train(training: DataFrame, vocab: Vocabulary, seed: int = SEED) -> Model:
-    """The weighted mean of the models that tasks train, each on its part of ``training`` (text)."""
+    """The mean of the models that tasks train, each on its part of ``training`` (text)."""
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
+    schema = "part int, row long, times long, change binary"
+    names, kinds = ["part", "row", "times", "change"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def record(part: int, rows: np.ndarray, times: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+        width = change.shape[1] * change.itemsize
+        flat = pa.py_buffer(np.ascontiguousarray(change))
+        at = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width))
+        cols = [pa.array(np.full(len(rows), part), kinds[0]), pa.array(rows, kinds[1]), pa.array(times, kinds[2]), pa.Array.from_buffers(pa.binary(), len(rows), [None, at, flat])]
+        return pa.record_batch(cols, names=names)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Trainer(shared.value.class_counts, seed)
@@ -235,29 +356,51 @@ def train(training: DataFrame, vocab: Vocabulary, seed: int = SEED) -> Model:
                 _, classes, _ = class_run(shared.value, batch.column(0).slice(k, ROWS_A_PIECE).to_pylist())
                 own.learn(np.concatenate([[END, END], classes]))
         if own.seen:
-            flat = np.concatenate([p.ravel() for p in own.model.parts]).astype(np.float64)
-            yield pa.record_batch([pa.array([own.seen], pa.int64()), pa.array([(flat * own.seen).tobytes()], pa.binary())], names=["seen", "flat"])
+            start, now = Model.start(own.groups, seed=seed), own.model
+            yield record(0, np.zeros(1, np.int64), np.array([own.seen]), np.concatenate([(p - q).ravel() for p, q in zip(now.parts[1:4], start.parts[1:4])])[None].astype(np.float16))
+            for part, times, get in ((1, own.times[0], lambda m, r: m.context[r]), (2, own.times[1], lambda m, r: np.c_[m.inner[r], m.inner_bias[r]])):
+                rows = np.flatnonzero(times)
+                for k in range(0, len(rows), 1 << 14):
+                    r = rows[k : k + (1 << 14)]
+                    yield record(part, r, times[r], (get(now, r) - get(start, r)).astype(np.float16))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, flat = 0, 0
+        n = shared.value.classes
+        sums, seen = [None, None, None], [np.zeros(1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)]
         for batch in batches:
-            for k in range(batch.num_rows):
-                seen += batch.column(0)[k].as_py()
-                flat = flat + np.frombuffer(batch.column(1)[k].as_py())
-        if seen:
-            yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["seen", "flat"])
-
-    made = materialize(training.mapInArrow(parts, "seen long, flat binary"), "lm-parts")
-    rows = made.repartition(8).mapInArrow(summed, "seen long, flat binary").collect()
-    start = Trainer(vocab.class_counts, seed).model
-    if not rows:
-        return start
-    mean = sum(np.frombuffer(r.flat) for r in rows) / sum(r.seen for r in rows)
-    out, at = [], 0
-    for p in start.parts:
-        out.append(mean[at : at + p.size].reshape(p.shape).astype(np.float32))
-        at += p.size
-    return Model(out)
+            part, row, times = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for k in np.unique(part):
+                pick = np.flatnonzero(part == k)
+                change = np.stack([np.frombuffer(b, np.float16) for b in batch.column(3).take(pa.array(pick)).to_pylist()]).astype(np.float32)
+                if sums[k] is None:
+                    sums[k] = np.zeros((len(seen[k]), change.shape[1]), np.float32)
+                np.add.at(sums[k], row[pick], change * times[pick, None])
+                np.add.at(seen[k], row[pick], times[pick])
+        for k in range(3):
+            rows = np.flatnonzero(seen[k])
+            for at in range(0, len(rows), 1 << 14):
+                r = rows[at : at + (1 << 14)]
+                mean = (sums[k][r] / seen[k][r, None]).astype(np.float32)
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([r.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], names=["part", "rows", "change"])
+
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-training.rdd.getNumPartitions() // SPLITS))
+    made = materialize(training.coalesce(tasks).mapInArrow(parts, schema), "lm-parts")
+    rows = made.repartition(8, "part", "row").mapInArrow(summed, "part int, rows binary, change binary").collect()
+    model = Trainer(vocab.class_counts, seed).model
+    for r in rows:
+        at = np.frombuffer(r.rows, np.int64)
+        change = np.frombuffer(r.change, np.float32).reshape(len(at), -1)
+        if r.part == 0:
+            done = 0
+            for p in model.parts[1:4]:
+                p += change[0, done : done + p.size].reshape(p.shape)
+                done += p.size
+        elif r.part == 1:
+            model.context[at] += change
+        else:
+            model.inner[at] += change[:, :-1]
+            model.inner_bias[at] += change[:, -1]
+    return model
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
@@ -269,14 +412,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     counts = materialize(word_counts(training), "lm-counts")
     vocab, least = vocabulary(counts, training.count())
     model = train(training, vocab, seed)
-    shared = spark.sparkContext.broadcast((vocab, model.parts))
-    names = ("key", "doc_id", "held_out", "n_tokens", "known", "base", "model", "others", "words", "times")
-    schema = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, others long, words array<string>, times array<int>"
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32())]
+    shared = spark.sparkContext.broadcast((vocab, model.groups, model.parts))
+    names = ("key", "doc_id", "held_out", "n_tokens", "known", "base", "model", "words", "times")
+    schema = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, words array<string>, times array<int>"
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, parts = shared.value
-        model = Model(parts)
+        vocab, groups, parts = shared.value
+        model = Model(groups, parts)
+        log_cell = np.log10(vocab.cell_tokens + vocab.cell_kinds + 1)
         log_count = np.log10(vocab.counts + 1.0) if len(vocab.counts) else np.zeros(1)
         end_log = math.log10(vocab.ends + 1)
         key = TaskContext.get().partitionId() << 40
@@ -292,9 +436,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
                 one[starts], two[starts], two[second] = END, END, END
                 logs = model.log_chances(two, one, class_) / LOG10
                 listed = np.where(place >= 0, log_count[np.maximum(place, 0)], np.where(place == -2, end_log, 0.0))
-                other = class_ == OTHER
-                logs += np.where(other & (place >= 0), listed, 0.0)
-                sums = [np.add.reduceat(x, starts) for x in ((place != -1).astype(np.int64), listed, logs, other.astype(np.int64))]
+                other = (class_ >= OTHER) & (class_ < OTHER + vocab.cells)
+                logs[other] += np.where(place >= 0, listed, 0.0)[other] - log_cell[class_[other] - OTHER]
+                sums = [np.add.reduceat(x, starts) for x in ((place != -1).astype(np.int64), listed, logs)]
                 words, times = [], []
                 for t, s, e in zip(texts, starts, ends):
                     if (place[s:e] == -1).any():
@@ -319,14 +463,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     )
     tokens, kinds_ = float(vocab.tokens), float(vocab.kinds)
     base_log = math.log10(tokens + kinds_ + 1)
-    other_log = math.log10(vocab.other_tokens + vocab.other_kinds + 1)
     more = F.coalesce("more", F.lit(0.0))
     known = F.lit(-1) if not vocab.ends else F.lit(0)
     return rows.join(found, "key", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0)) + known).cast("long").alias("n_known"),
         F.lit(vocab.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * base_log).alias("base_score"),
-        (F.col("model") + more - F.col("others") * other_log).alias("score"),
+        (F.col("model") + more).alias("score"),
     )
 
 
