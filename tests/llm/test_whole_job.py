@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from millrace.llm import lm
+from millrace.llm import lm, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, base string, size long"
 
@@ -55,3 +55,20 @@ def test_scores_with_cells_are_a_distribution(spark):
         assert vocab.cell_kinds.sum() + vocab.own == len(counts)
     got = lm.score(training).collect()
     assert len(got) == 200 and all(x.score < 0 for x in got)
+
+
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def test_a_secret_after_its_name_is_found(spark):
+    """NAME=value, in a line of its own, an address or an .env file: the value is a token without its name."""
+    r = random.Random(8)
+    keys = ["".join(r.choice(BASE64) for _ in range(46)) for _ in range(40)]
+    heads = ["AWS_KEY=", "see ?sig=", "export DB_CREDENTIALS=", "a=b="]
+    rows = [(k, f"{heads[k % 4]}{key}== end") for k, key in enumerate(keys)]
+    found = {x.doc_id: [(m.start, m.end) for m in x.all if m.kind == 3] for x in secrets.scan(table(spark, rows)).collect()}
+    at = {k: (len(heads[k % 4]), len(heads[k % 4]) + 48) for k, _ in rows}
+    assert all(set(found[k]) <= {at[k]} for k in at)
+    assert sum(found[k] == [at[k]] for k in at) >= 38
+    clean = {x.doc_id: x.text for x in secrets.redact(table(spark, rows)).collect()}
+    assert sum(clean[k] == f"{heads[k % 4]}[secret] end" for k in at) >= 38
