@@ -7,8 +7,12 @@ import re
 
 #: HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg textarea title select math object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style template noscript iframe textarea title".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements with rules of their own, in which '/>' ends an element, and those in them that hold HTML again.
+FOREIGN = frozenset(["svg", "math"])
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 CLOSES = {
     "p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "tbody": frozenset(["tr", "td", "th", "thead", "tbody"]),
@@ -47,9 +51,19 @@ def _close(stack: list[tuple[int, str]], tags, scope) -> None:
             return
 
 
+def _foreign(stack: list[tuple[int, str]]) -> int:
+    """Place of the svg or math element whose rules hold, 0 if those of HTML do."""
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k][1] in FOREIGN:
+            return k
+        if stack[k][1] in HOLDS_HTML:
+            return 0
+    return 0
+
+
 def parse(page: str) -> Tree:
     """The tree of a page; markup, comments and raw elements leave no text."""
-    tree, stack, at = Tree(), [(0, "#root")], 0
+    tree, stack, at, met = Tree(), [(0, "#root")], 0, False
     find = MARKUP.search
     while True:
         m = find(page, at)
@@ -71,6 +85,10 @@ def parse(page: str) -> Tree:
                 if tag in INLINE and stack[k][1] not in INLINE:
                     break
             continue
+        foreign = met and _foreign(stack)
+        if foreign and tag in CLOSES_P:  # a block ends an svg or math that was left open
+            del stack[foreign:]
+            foreign = 0
         if tag in CLOSES_P:
             _close(stack, CLOSES["p"], SCOPE["p"])
         if tag in CLOSES and tag != "p":
@@ -82,11 +100,13 @@ def parse(page: str) -> Tree:
                     label = a
                 else:
                     names += f" {a or b or c}"
-        node = tree.add(stack[-1][0], tag, names, "", label)
-        if tag in RAW:
+        # A formula's symbols are words of the text around them.
+        node = stack[-1][0] if tag in MATH else tree.add(stack[-1][0], tag, names, "", label)
+        met = met or tag in FOREIGN
+        if (foreign or tag in FOREIGN) and page.endswith("/>", 0, at):
+            continue
+        if tag in RAW and not (foreign and tag == "title"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not page.endswith("/>", at - 2, at):
-            stack.append((node, tag))
         elif tag not in VOID:
             stack.append((node, tag))

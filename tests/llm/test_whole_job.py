@@ -4,8 +4,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from millrace.llm import lm, secrets
+from millrace.llm import extract, lm, secrets
+from millrace.llm.dom import parse
 
 DOCS = "doc_id long, text string, lang string, source string, base string, size long"
 
@@ -72,3 +74,29 @@ def test_a_secret_after_its_name_is_found(spark):
     assert sum(found[k] == [at[k]] for k in at) >= 38
     clean = {x.doc_id: x.text for x in secrets.redact(table(spark, rows)).collect()}
     assert sum(clean[k] == f"{heads[k % 4]}[secret] end" for k in at) >= 38
+
+
+ARTICLE = "<html><body><nav><a href='/a'>Home</a></nav><article><h1>The title of it</h1><p>First words of the text, which is long enough.</p>{}<p>Last words, which must be there too.</p></article></body></html>"
+ALL = "The title of it First words of the text, which is long enough. {}Last words, which must be there too."
+
+
+@pytest.mark.parametrize(
+    "piece, text",
+    [
+        ('<svg width="1"/>', ""), ("<svg><path d='M0'/><g><title/></g></svg>", ""), ("<svg><path d='M0'><g>", ""), ("<math/>", ""), ("<math><mi>x", "x"),
+        ("<video src='v'>", ""), ("<audio src='v'>", ""), ("<object data='o'>", ""), ("<canvas id='c'>", ""), ("<svg/><canvas></canvas>", ""),
+        ("<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", "Here x=2 holds. "), ("<svg><foreignObject><div/>in it.</div></foreignObject></svg>", "in it. "),
+    ],
+)
+def test_no_page_ends_at_an_element_left_open(piece, text):
+    got = extract.trained().main_text(ARTICLE.format(piece))
+    assert got == ALL.format(text and text.strip() + " ")
+
+
+def test_an_open_select_keeps_what_follows():
+    tree = parse(ARTICLE.format("<select><option>One<option>Two"))
+    assert any("Last words" in t for t in tree.text)
+    before = extract.trained().main_text("<body><svg/>" + ARTICLE.format(""))
+    assert before == ALL.format("")
+    raw = parse("<script>var a = '<p>'</script><svg><style>p{}</style></svg><p>x")
+    assert [t for t in raw.text if t] == ["x"]
