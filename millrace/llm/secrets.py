@@ -144,11 +144,6 @@ def _tests(token: Column, alphabet: str, agree: float) -> Column:
 
 def candidates(text: Column) -> Column:
     """Tokens with an encoding and their test results."""
-    words = F.filter(
-        spans(text, TOKEN, 3),
-        lambda m: m["s"].rlike("[0-9]") & m["s"].rlike("[A-Za-z]") | m["s"].rlike("[a-z][A-Z].*[a-z][A-Z]"),
-    )
-
     def tested(m: Column) -> Column:
         s = F.translate(F.rtrim(m["s"], F.lit("=")), "_-", "/+")
         out = F.lit(None).cast("struct<encoding:string,passes:boolean,evidence:double>")
@@ -158,7 +153,7 @@ def candidates(text: Column) -> Column:
             out = F.when(m["s"].rlike(pattern) & (F.length(s) >= 16), t).otherwise(out)
         return let(out, lambda t: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), t["encoding"].alias("encoding"), t["passes"].alias("passes"), t["evidence"].alias("evidence")))
 
-    return F.filter(F.transform(words, tested), lambda c: c["passes"])
+    return F.filter(F.transform(spans(text, TOKEN, 3), tested), lambda c: c["passes"])
 
 
 def _class() -> tuple[Column, Column]:

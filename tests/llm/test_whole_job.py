@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import extract, lm, secrets
 from millrace.llm.dom import parse
@@ -100,3 +101,17 @@ def test_an_open_select_keeps_what_follows():
     assert before == ALL.format("")
     raw = parse("<script>var a = '<p>'</script><svg><style>p{}</style></svg><p>x")
     assert [t for t in raw.text if t] == ["x"]
+
+
+def test_tokens_of_letters_or_of_digits_are_tested(spark):
+    """Random base 32 without 2-7 and decimals go through the battery; words and repeated digits don't pass it."""
+    r = random.Random(9)
+    keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(50)) for _ in range(30)] + ["".join(r.choice("0123456789") for _ in range(24)) for _ in range(30)]
+    plain = ["internationalization antidisestablishmentarianism 0000000000000000000000 DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT"] * 100
+    rows = [(k, f"see {t} end") for k, t in enumerate(keys)] + [(1000 + k, t) for k, t in enumerate(plain)]
+    docs = table(spark, rows).select("doc_id", secrets.candidates(F.col("text")).alias("c"))
+    tested = {x.doc_id: x.c for x in docs.collect()}
+    assert sum(bool(tested[k]) for k in range(30)) >= 28 and sum(bool(tested[30 + k]) for k in range(30)) >= 28
+    found = {x.doc_id: [m for m in x.all if m.kind == 3] for x in secrets.scan(table(spark, rows)).collect()}
+    assert sum(bool(found[k]) for k in range(30)) >= 28
+    assert not any(found[1000 + k] for k in range(100))
