@@ -27,7 +27,7 @@ shingles agree with a chance of 1e-10.
 Defined results: a null text or one without words has the empty set, links
 with nothing and is kept; a text with fewer words than a shingle is one
 shingle; repeated rows get equal values; rows with one id
-count as one document; a null id is linked with nothing and kept; an empty table gives no rows; other columns are ignored by ``near_groups``
+count as one document in ``near_groups``, and each for itself in ``drop_near_copies``; a null id is linked with nothing and kept; an empty table gives no rows; other columns are ignored by ``near_groups``
 and kept by ``drop_near_copies``.
 """
 
@@ -354,17 +354,17 @@ def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept; of rows with one id, one."""
-    own = near_groups(docs, width, id_col, text_col).where("not kept")
+    """The rows of ``docs`` that are kept. Where ids repeat, rows are told apart by a number, in order of ids."""
+    names, key = docs.columns, id_col
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    if repeated.limit(1).count():
+        key = "_row"
+        numbered = docs.orderBy(F.col(id_col).cast("long"), F.xxhash64(text_col)).withColumn(key, F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id()))
+        docs = materialize(numbered, "neardup-numbered")
+    own = near_groups(docs, width, key, text_col).where("not kept")
     gone = materialize(own.select(F.col("doc_id").alias("_gone")).distinct(), "neardup-gone")
     few = gone.limit(SMALL_IDS + 1).count() <= SMALL_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("_gone"), "left_anti")
-    ids = left.groupBy(id_col).count().where(f"`{id_col}` is not null and count > 1")
-    again = materialize(ids.select(F.col(id_col).alias("_gone")), "neardup-repeated")
-    if not again.limit(1).count():
-        return left
-    twice = left.join(again, left[id_col] == F.col("_gone"), "left_semi").dropDuplicates([id_col])
-    return left.join(again, left[id_col] == F.col("_gone"), "left_anti").unionByName(twice)
+    return docs.join(F.broadcast(gone) if few else gone, docs[key] == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import extract, lm, secrets
+from millrace.llm import extract, lm, neardup, secrets
 from millrace.llm.dom import parse
 
 DOCS = "doc_id long, text string, lang string, source string, base string, size long"
@@ -115,3 +115,11 @@ def test_tokens_of_letters_or_of_digits_are_tested(spark):
     found = {x.doc_id: [m for m in x.all if m.kind == 3] for x in secrets.scan(table(spark, rows)).collect()}
     assert sum(bool(found[k]) for k in range(30)) >= 28
     assert not any(found[1000 + k] for k in range(100))
+
+
+def test_different_texts_with_one_id_all_stay(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (1, a), (2, b), (3, c), (3, c + " more"), (4, a), (None, a), (5, "")]
+    got = neardup.drop_near_copies(table(spark, rows), 2)
+    assert got.columns == table(spark, []).columns
+    assert Counter((r.doc_id, r.text[:1]) for r in got.collect()) == Counter([(1, "a"), (1, "b"), (3, "c"), (None, "a"), (5, "")])
