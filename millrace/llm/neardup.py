@@ -5,7 +5,7 @@ smallest values. Equal sets are one class, with its smallest id as
 representative. Then, over representatives:
 
 1. Inverted lists. For a similarity of ``THRESHOLD`` two sketches share at
-   least ``LEAST_SHARED`` values (chance of less: under 1e-7). So two linked
+   least ``LEAST_SHARED`` values (chance of less: under 2e-7). So two linked
    documents share a value among the ``K - LEAST_SHARED + 1`` rarest of each
    sketch, by number of sketches that hold a value; only these enter lists, and
    values held by one sketch make none. Common shingles fall out by that.
