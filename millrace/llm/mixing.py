@@ -17,8 +17,9 @@ source. Positions of documents are running totals over one total order
 tasks. All sums are in whole numbers, so reruns agree.
 
 Defined results: a null text has size 0 and is never taken; a null source is a
-source of its own, the last; repeated rows each have their own place; an empty
-table gives no rows; other columns are ignored by ``taken_words`` and kept by
+source of its own, the last; repeated rows each have their own place, and rows
+with equal hashes stand by id and size; a text of any length is counted whole,
+without a list of its words; an empty table gives no rows; other columns are ignored by ``taken_words`` and kept by
 ``mix_documents``, which gives a document as many times as half or more of its
 words are taken, and a document without words once.
 """
@@ -139,33 +140,36 @@ def take(rows: DataFrame, block: int, weights, share: float, most: int) -> DataF
     return placed.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
-def slim_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, keep: list[Column] = ()) -> DataFrame:
+def slim_rows(docs: DataFrame, id_: Column, text: Column, source: Column, seed: int, keep: list[Column] = ()) -> DataFrame:
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(source_col).isNull().alias("nul"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
-        words_in(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("mix_key"),
+        id_.cast("long").alias("doc_id"),
+        source.isNull().alias("nul"),
+        F.coalesce(source.cast("string"), F.lit("")).alias("src"),
+        words_in(text).alias("size"),
+        F.xxhash64(F.lit(seed), id_, text).alias("mix_key"),
         *keep,
     )
 
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, weights=WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 8) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row."""
-    rows = materialize(slim_rows(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    rows = materialize(slim_rows(docs, *[F.col(f"`{c}`") for c in (id_col, text_col, source_col)], seed), "mix-sizes")
     return take(rows, block, weights, share, most).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, weights=WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 8) -> DataFrame:
     """The rows of ``docs`` that the mix takes, repeated as often as it takes them."""
     # Rows get a number that is written down with them; all but the last join is on numbers and sizes.
-    whole = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-documents")
-    rows = materialize(slim_rows(whole, id_col, text_col, source_col, seed, [F.col("_mix_row")]), "mix-sizes")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = materialize(docs.select(row, F.monotonically_increasing_id().alias("number")), "mix-documents")
+    own = [F.col("row").getField(c) for c in (id_col, text_col, source_col)]
+    rows = materialize(slim_rows(whole, *own, seed, [F.col("number")]), "mix-sizes")
     mixed = take(rows, block, weights, share, most)
     copies = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(F.expr("(2 * taken + size) div (2 * size)"))
-    times = mixed.select("_mix_row", copies.alias("_mix_copies")).where("_mix_copies > 0")
-    numbered = whole.join(times, "_mix_row").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))))
-    return numbered.select(*[F.col(f"`{c}`") for c in docs.columns])
+    times = mixed.select("number", copies.alias("copies")).where("copies > 0")
+    # By a shuffle at every size: the numbers grow with the rows.
+    numbered = whole.join(times.hint("merge"), "number").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return numbered.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
