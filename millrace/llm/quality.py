@@ -15,18 +15,23 @@ them, else by a shuffle join in which Spark splits large sites.
 
 Defined results: a null text is the empty text; a null host or path is a site
 of its own; with no labels, or labels of one kind, the ratio is even and all
-rows are kept; repeated rows get equal values; an empty table gives no rows;
-other columns are ignored by ``classify`` and kept by ``drop_rejected``.
+rows are kept; repeated rows get equal values; a chance of exactly
+``LEAST_CHANCE`` is kept, and labelled rows with equal hashes are taken in order
+of id and label; a text of any length is measured whole, in memory for its
+bytes and words; an empty table gives no rows; other columns, whatever their
+names, are ignored by ``classify`` and kept as they are by ``drop_rejected``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from millrace.llm.arrow import map_batches
 from millrace.storage import materialize
@@ -94,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model of at most ``rows`` labelled documents."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     few = known.orderBy(F.xxhash64("id"), "id", "y").limit(rows)
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").select("text", "y", "id")
+    chosen = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(few), "id").select("text", "y", "id")
 
     def run(batch):
         return {"id": batch.column(2), "y": batch.column(1), "x": [measures(t).tobytes() for t in batch.column(0).to_pylist()]}
@@ -104,16 +109,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Logistic.fit(x, np.array([r.y for r in found], dtype=np.float64))
 
 
-def scored(docs: DataFrame, model: Logistic, text_col: str) -> DataFrame:
-    """``docs`` with ``_ratio``; all columns pass through."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", `_ratio` double"
-    at = docs.columns.index(text_col)
+def scored(slim: DataFrame, model: Logistic, text: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """``slim`` with ``ratio``: one Python pass over the texts, which ``text`` finds in a batch."""
 
     def run(batch):
-        x = np.array([measures(t) for t in batch.column(at).to_pylist()]).reshape(-1, MEASURES)
-        return {n: batch.column(k) for k, n in enumerate(batch.schema.names)} | {"_ratio": pa.array(model.ratio(x), pa.float64())}
+        x = np.array([measures(t) for t in text(batch).to_pylist()]).reshape(-1, MEASURES)
+        return dict(zip(batch.schema.names, batch.columns)) | {"ratio": pa.array(model.ratio(x), pa.float64())}
 
-    return map_batches(docs, run, schema)
+    return map_batches(slim, run, StructType([*slim.schema.fields, StructField("ratio", DoubleType())]))
 
 
 def _chance(log_odds: Column) -> Column:
@@ -152,31 +155,38 @@ def site_rates(slim: DataFrame, prior: float) -> DataFrame:
 
 
 def _with_chance(rows: DataFrame, rates: DataFrame) -> DataFrame:
-    """rows (with _host, _path, _ratio) with host_rate, path_rate and chance."""
+    """rows (with host, path, ratio) with host_rate, path_rate and chance."""
     small = rates.limit(SMALL_SITES + 1).count() <= SMALL_SITES
     sites = rates.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "host_rate", "path_rate")
-    on = rows["_host"].eqNullSafe(sites["_h"]) & rows["_path"].eqNullSafe(sites["_p"])
+    on = rows["host"].eqNullSafe(sites["_h"]) & rows["path"].eqNullSafe(sites["_p"])
     joined = rows.join(F.broadcast(sites) if small else sites, on, "left").drop("_h", "_p")
-    return joined.withColumn("chance", _chance(F.col("_ratio") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))))
+    return joined.withColumn("chance", _chance(F.col("ratio") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))))
+
+
+def _sites(host_col: str, path_col: str) -> list[Column]:
+    return [F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{path_col}`").cast("string").alias("path")]
+
+
+def _judged(own: DataFrame, model: Logistic, text: Callable[[pa.RecordBatch], pa.Array], without: str) -> DataFrame:
+    """``own`` (host, path, ...) without one column, with ratio, host_rate, path_rate and chance."""
+    rows = materialize(scored(own, model, text).drop(without), "quality-rows")
+    return _with_chance(rows, site_rates(rows.select("host", "path", "ratio"), model.prior))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """doc_id, evidence, host_rate, path_rate, chance, keep for every row."""
     model = fit(docs, labels, id_col, text_col, label_col)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("_host"), F.col(path_col).cast("string").alias("_path"))
-    rows = materialize(scored(text, model, "text").drop("text"), "quality-rows")
-    rates = site_rates(rows.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_ratio").alias("ratio")), model.prior)
-    return _with_chance(rows, rates).select("doc_id", F.col("_ratio").alias("evidence"), "host_rate", "path_rate", "chance", (F.col("chance") >= LEAST_CHANCE).alias("keep"))
+    own = docs.select(*_sites(host_col, path_col), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    found = _judged(own, model, lambda batch: batch.column(3), "text")
+    return found.select("doc_id", F.col("ratio").alias("evidence"), "host_rate", "path_rate", "chance", (F.col("chance") >= LEAST_CHANCE).alias("keep"))
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that are not rejected."""
+    """The rows of ``docs`` that are not rejected, as they are: each goes along whole, in one column."""
     model = fit(docs, labels, id_col, text_col, label_col)
-    site = [F.col(host_col).cast("string").alias("_host"), F.col(path_col).cast("string").alias("_path")]
-    slim = materialize(scored(docs.select(F.col(text_col).alias("text"), *site), model, "text").drop("text"), "quality-rows")
-    rates = site_rates(slim.select(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_ratio").alias("ratio")), model.prior)
-    rows = scored(docs.select("*", *site), model, text_col)
-    return _with_chance(rows, rates).where(F.col("chance") >= LEAST_CHANCE).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = _judged(docs.select(*_sites(host_col, path_col), row), model, lambda batch: batch.column(2).field(text_col), "")
+    return found.where(F.col("chance") >= LEAST_CHANCE).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
