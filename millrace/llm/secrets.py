@@ -2,26 +2,35 @@
 
 Base spans come from three patterns. The method adds spans of kind ``random``:
 tokens of 16 or more encoding characters are given the narrowest encoding that
-holds their characters (hexadecimal, base 32, base 64), and three tests for
-uniform random symbols are made in that encoding: chi-squared uniformity of
-the alphabet, runs above and below the alphabet's middle, and serial
-correlation at lag 1. A token that fails one is structured and is dropped. For
-the others the chance is computed that ordinary text of this length would look
-as uniform; a Benjamini-Hochberg bound within each class of encoding and
-length, over all candidates of the corpus, keeps the share of false finds at
-``FDR``. Longer tokens give stronger evidence, so classes by length keep short
-words from drowning them.
+holds their characters (hexadecimal, base 32, base 64), and a battery of three
+tests for uniform random symbols is made in that encoding: chi-squared
+uniformity of the alphabet, runs above and below the alphabet's middle, and
+serial correlation at lag 1.
+
+Each test gives a p-value: the chance that a token which is not random, by that
+test's measure, looks as random as this one does. For the alphabet that is
+ordinary text of this length, whose symbols agree as often as ``ENCODINGS``
+says; for runs and for the serial correlation it is a token that departs from
+random by ``LEAST_EFFECT`` standard deviations a square root of a symbol. A
+token is random only if all three are ruled out, so the p-value of the battery
+is the largest of the three (the intersection-union rule). Longer tokens give
+smaller ones. A Benjamini-Hochberg bound within each class of encoding and
+length, over every token of the corpus that was tested, keeps the share of
+false finds at ``FDR``; classes by length keep the many short words from
+drowning long tokens.
 
 Everything is a DataFrame expression. Matches are found by marking them with a
 control character and splitting there; lengths of the pieces give positions in
 code points. The character is exchanged for another control character before,
 which no pattern holds, so positions stay. Only one row a text, with its few
 candidates, is written to the shared folder; the table of bounds has at most
-3 encodings x 32 lengths rows.
+3 encodings x 64 lengths rows.
 
 Defined results: a null text is the empty text and has no spans; repeated rows
-give equal rows; an empty table gives no rows; other columns are ignored by
-``scan`` and kept by ``redact``.
+give equal rows, and each counts as a hypothesis; tokens with equal evidence
+are kept or dropped together; a text of any length is scanned whole, in memory
+for its pieces between matches; an empty table gives no rows; other columns are
+ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -39,8 +48,8 @@ HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9+/_-]{16,}={0,6}"
 MARK, OTHER = "\x01", "\x02"
 FDR = 0.01
-#: Largest normal deviate at which a token still counts as random.
-GATE = 4.0
+#: Least departure of runs or of serial correlation that counts as structure, in standard deviations a square root of a symbol.
+LEAST_EFFECT = 0.8
 #: Alphabets, and the chance that two symbols of ordinary text in them agree.
 ENCODINGS = {
     "hex": ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 0.15),
@@ -95,14 +104,13 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, spans(text, ACCESS, 1), spans(text, HEX, 2)))
 
 
-def _deviate_chi(x: Column, df: int) -> Column:
-    """Normal deviate of a chi-squared value (Wilson and Hilferty)."""
-    v = 2.0 / (9 * df)
-    return (F.pow(F.greatest(x, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - v)) / v**0.5
+def _evidence(z: Column) -> Column:
+    """-log10 of about the chance of a normal deviate of ``z`` or more; 0 where ``z`` isn't positive."""
+    return F.when(z > 0, 0.30103 + 0.43429 * (0.717 * z + 0.416 * z * z)).otherwise(F.lit(0.0))
 
 
-def _tests(token: Column, alphabet: str, agree: float) -> Column:
-    """(passes, -log10 of the chance that text looks as uniform) of a token."""
+def _battery(token: Column, alphabet: str, agree: float) -> Column:
+    """-log10 of the battery's p-value for a token."""
     size = len(alphabet)
     half = "0" * (size // 2) + "1" * (size - size // 2)
 
@@ -113,12 +121,17 @@ def _tests(token: Column, alphabet: str, agree: float) -> Column:
             kinds, F.lit(0.0), lambda s, c: s + F.pow((F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0))
         )
         chi = squares * size / n - n
+        text_mean = size * (1 + (n - 1) * agree) - n
+        text_sd = size * (2 * agree * (1 - agree)) ** 0.5
+        uniform = _evidence((text_mean - chi) / text_sd)
+
+        effect = F.sqrt(n) * LEAST_EFFECT
         bits = F.translate(token, alphabet, half)
         ones = F.length(F.replace(bits, F.lit("0"), F.lit(""))).cast("double")
         both = 2 * ones * (n - ones)
         runs = F.length(F.regexp_replace(bits, "0+|1+", "x"))
         spread = both * (both - n) / (n * n * (n - 1))
-        z_runs = F.when(spread > 0, (runs - (1 + both / n)) / F.sqrt(spread)).otherwise(F.lit(-99.0))
+        z_runs = F.when(spread > 0, (runs - (1 + both / n)) / F.sqrt(spread)).otherwise(effect)
         places = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c).cast("double"))
 
         def serial(xs: Column) -> Column:
@@ -128,32 +141,29 @@ def _tests(token: Column, alphabet: str, agree: float) -> Column:
             def ratio(d: Column) -> Column:
                 over = F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x)
                 lag = F.zip_with(F.slice(d, F.lit(1), F.size(d) - 1), F.slice(d, F.lit(2), F.size(d) - 1), lambda a, b: a * b)
-                return F.when(over > 0, (F.aggregate(lag, F.lit(0.0), lambda s, x: s + x) / over + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
+                return F.when(over > 0, (F.aggregate(lag, F.lit(0.0), lambda s, x: s + x) / over + 1 / n) * F.sqrt(n)).otherwise(effect)
 
             return let(off, ratio)
 
-        text_mean = size * (1 + (n - 1) * agree) - n
-        text_sd = size * (2 * agree * (1 - agree)) ** 0.5
-        z = F.greatest((text_mean - chi) / text_sd, F.lit(0.0))
-        evidence = 0.30103 + 0.43429 * (0.717 * z + 0.416 * z * z)
-        passes = (F.abs(_deviate_chi(chi, size - 1)) < GATE) & (F.abs(z_runs) < GATE) & (F.abs(let(places, serial)) < GATE)
-        return F.struct(passes.alias("passes"), evidence.alias("evidence"))
+        z_serial = let(places, serial)
+        return F.least(uniform, _evidence(effect - F.abs(z_runs)), _evidence(effect - F.abs(z_serial)))
 
     return let(F.split(token, ""), with_chars)
 
 
 def candidates(text: Column) -> Column:
-    """Tokens with an encoding and their test results."""
+    """Tokens with an encoding, and the battery's evidence that each is random."""
+
     def tested(m: Column) -> Column:
         s = F.translate(F.rtrim(m["s"], F.lit("=")), "_-", "/+")
-        out = F.lit(None).cast("struct<encoding:string,passes:boolean,evidence:double>")
+        out = F.lit(None).cast("struct<encoding:string,evidence:double>")
         for name, (pattern, alphabet, agree) in reversed(ENCODINGS.items()):
             token = F.lower(s) if name == "hex" else s
-            t = let(_tests(token, alphabet, agree), lambda r, name=name: F.struct(F.lit(name).alias("encoding"), r["passes"].alias("passes"), r["evidence"].alias("evidence")))
+            t = F.struct(F.lit(name).alias("encoding"), _battery(token, alphabet, agree).alias("evidence"))
             out = F.when(m["s"].rlike(pattern) & (F.length(s) >= 16), t).otherwise(out)
-        return let(out, lambda t: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), t["encoding"].alias("encoding"), t["passes"].alias("passes"), t["evidence"].alias("evidence")))
+        return let(out, lambda t: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), t["encoding"].alias("encoding"), t["evidence"].alias("evidence")))
 
-    return F.filter(F.transform(spans(text, TOKEN, 3), tested), lambda c: c["passes"])
+    return F.filter(F.transform(spans(text, TOKEN, 3), tested), lambda c: c["encoding"].isNotNull())
 
 
 def _class() -> tuple[Column, Column]:
