@@ -17,11 +17,19 @@ the previous one's left part on its left spine. The largest total length of
 left parts over such chains bounds the distance; it is found by one pass over
 the merges.
 
-Decoding reads ids one by one; it holds the bytes of a character that is not
+A text is read in pieces of about ``PIECE`` characters, cut at white space. A
+piece without any is cut where no character joins the one before, and the word
+that is open there goes on in the next piece. What the transducer gives for a
+short word, or for a short run between white space, is remembered.
+
+Decoding reads ids as they come; it holds the bytes of a character that is not
 complete and nothing more.
 
 Defined results: a null text is the empty text, and has no tokens; repeated
-rows give equal rows; an empty table gives no rows; other columns are ignored.
+rows give equal rows; of two merges with one rank the left one goes first; a
+text of any length needs memory for a piece and a window besides itself (for a
+run of combining marks or apostrophes, which has no place to cut, for the run);
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,16 +40,22 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 
+from millrace.functions.text import WHITE_SPACE
 from millrace.llm.arrow import map_batches
 
-#: Characters normalised and split together; a cut is made at white space only.
+#: Characters normalised and split together, and how much further white space is looked for.
 PIECE = 1 << 16
-#: Words whose tokens are remembered, and as many older ones.
-CACHE = 1 << 17
+FURTHER = 1 << 10
+#: Words (and runs between white space) whose tokens are remembered, and as many older ones, of so many characters at most.
+CACHE = 1 << 16
+SHORT = 64
+#: White space to Python, but not to the library.
+CONTROL = re.compile("[\x1c-\x1f]")
 NEVER = 1 << 62
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -83,6 +97,55 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length) -> int:
     return most
 
 
+class Word:
+    """A word on its way through a window: bytes in, tokens out as they become stable."""
+
+    def __init__(self, coder: Transducer):
+        self.coder, self.window, self.pending = coder, [], b""
+
+    def feed(self, raw: bytes) -> list[int]:
+        coder, window = self.coder, self.window
+        raw = self.pending + raw
+        window += map(coder.bare.__getitem__, raw[:-1])
+        self.pending = raw[-1:]
+        out: list[int] = []
+        start = 0
+        while len(window) - start >= coder.window:
+            used, limit = 0, coder.window - coder.lookahead
+            for t in coder.merge(window[start : start + coder.window]):
+                if used + coder.size[t] > limit:
+                    break
+                used += coder.size[t]
+                out.append(t)
+            start += used
+        del window[:start]
+        return out
+
+    def close(self) -> list[int]:
+        """What is left, with the last byte as the word's end."""
+        last = [self.coder.last[b] for b in self.pending]
+        return self.coder.merge(self.window + last)
+
+
+class Memory(dict):
+    """Results of ``fn`` for short texts, in two generations."""
+
+    def __init__(self, fn):
+        super().__init__()
+        self.fn, self.older = fn, {}
+
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        found = self.older.get(text)
+        if found is None:
+            found = self.fn(text)
+        if len(text) <= SHORT:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
 class Transducer:
     """Encoder for a vocabulary file of the kind byte-level BPE with word ends."""
 
@@ -95,30 +158,27 @@ class Transducer:
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.merges = {}
+        #: Bits of an id; a pair of ids, and a rank with an id, are one whole number each.
+        self.bits = max(self.vocab.values()).bit_length()
+        self.codes: dict[int, int] = {}
         for rank, (u, v) in enumerate(merges):
-            self.merges.setdefault((self.vocab[u], self.vocab[v]), (rank, self.vocab[u + v]))
-        #: The same as whole numbers, for vocabularies of up to 65,536 tokens: pair -> rank and token.
-        self.codes = {a << 16 | b: rank << 16 | new for (a, b), (rank, new) in self.merges.items()}
+            self.codes.setdefault(self.vocab[u] << self.bits | self.vocab[v], rank << self.bits | self.vocab[u + v])
         self.symbols = byte_symbols()
-        bare = [self.vocab[s] for s in self.symbols]
-        last = [self.vocab[s + self.suffix] for s in self.symbols]
-        self.bare, self.last = bare, last
+        self.bare = [self.vocab[s] for s in self.symbols]
+        self.last = [self.vocab[s + self.suffix] for s in self.symbols]
         cut = len(self.suffix)
         length = lambda t: len(t) - (cut if cut and t.endswith(self.suffix) else 0)
         self.lookahead = sufficient_lookahead(merges, length)
-        self.longest = max(map(length, self.vocab))
-        self.window = self.lookahead + max(64, self.longest)
+        self.window = 4 * self.lookahead + max(64, *map(length, self.vocab))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in (self.vocab | self.special).items()}
         self.size = {i: length(t) for t, i in self.vocab.items()}
-        self.surface = {i: t.encode() for i, t in self.token.items()}
-        self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.cut_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.letter, self.number = regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
         self.path, self.unsettled = path, None
         self.decimal = {i: b"%d" % i for i in self.token}
-        self.cache: dict[str, tuple[int, bytes, bytes]] = {}
-        self.older: dict[str, tuple[int, bytes, bytes]] = {}
+        self.word_ids, self.run_ids = Memory(self.word), Memory(self.run)
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of a list of symbols, lowest rank first, leftmost first."""
@@ -126,30 +186,30 @@ class Transducer:
         if n < 2:
             return ids
         if n <= 64:
-            get = self.codes.get
+            get, bits, mask = self.codes.get, self.bits, (1 << self.bits) - 1
             ids = list(ids)
-            pairs = [get(a << 16 | b, NEVER) for a, b in zip(ids, ids[1:])]
+            pairs = [get(a << bits | b, NEVER) for a, b in zip(ids, ids[1:])]
             while pairs:
                 best = min(pairs)
                 if best == NEVER:
                     break
                 at = pairs.index(best)
-                ids[at] = new = best & 0xFFFF
+                ids[at] = new = best & mask
                 del ids[at + 1], pairs[at]
                 if at < len(pairs):
-                    pairs[at] = get(new << 16 | ids[at + 1], NEVER)
+                    pairs[at] = get(new << bits | ids[at + 1], NEVER)
                 if at:
-                    pairs[at - 1] = get(ids[at - 1] << 16 | new, NEVER)
+                    pairs[at - 1] = get(ids[at - 1] << bits | new, NEVER)
             return ids
-        table = self.merges
+        codes, bits, mask = self.codes, self.bits, (1 << self.bits) - 1
         here, after, before = list(ids), [*range(1, n), -1], [-1, *range(n - 1)]
         heap = []
 
         def offer(k: int) -> None:
             if k >= 0 and after[k] >= 0:
-                m = table.get((here[k], here[after[k]]))
+                m = codes.get(here[k] << bits | here[after[k]])
                 if m is not None:
-                    heapq.heappush(heap, (m[0], k, here[k], here[after[k]], m[1]))
+                    heapq.heappush(heap, (m >> bits, k, here[k], here[after[k]], m & mask))
 
         for k in range(n - 1):
             offer(k)
@@ -166,30 +226,17 @@ class Transducer:
             offer(k)
         return [x for x in here if x >= 0]
 
-    def word(self, symbols: Iterable[int]) -> Iterator[list[int]]:
-        """Tokens of a word, from its bytes, as they become stable."""
-        window: list[int] = []
-        bare = self.bare
-        pending = None
-        for byte in symbols:
-            if pending is not None:
-                window.append(bare[pending])
-                if len(window) >= self.window:
-                    stable, used, limit = [], 0, len(window) - self.lookahead
-                    for t in self.merge(window):
-                        if used + self.size[t] > limit:
-                            break
-                        used += self.size[t]
-                        stable.append(t)
-                    del window[:used]
-                    yield stable
-            pending = byte
-        if pending is not None:
-            window.append(self.last[pending])
-            yield self.merge(window)
+    def word(self, word: str) -> tuple[int, ...]:
+        """Tokens of a word that is there as a whole."""
+        through = Word(self)
+        return (*through.feed(word.encode("utf-8")), *through.close())
+
+    def run(self, run: str) -> tuple[int, ...]:
+        """Tokens of a run between white space."""
+        return tuple(chain.from_iterable(map(self.word_ids.__getitem__, self.split(run))))
 
     def split(self, piece: str) -> list[str]:
-        """Words of a piece of text, normalised."""
+        """Words of a text, normalised."""
         if not piece.isascii():
             try:
                 piece.encode("latin-1")
@@ -209,69 +256,88 @@ class Transducer:
         words = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(piece))
         return [bytes(byte[c] for c in w).decode("utf-8") for w, _ in words]
 
-    def pieces(self, text: str) -> Iterator[tuple[int | None, list[str]]]:
-        """(id of a special token or None, words) in order."""
-        for k, part in enumerate(self.cut_special.split(text)):
-            if k % 2:
-                yield self.special[part], []
-                continue
-            at = 0
-            while at < len(part):
-                end = at + PIECE
-                if end < len(part):
-                    ends = [e for e in (part.find(" ", end), part.find("\n", end)) if e >= 0]
-                    end = min(ends, default=len(part))
-                yield None, self.split(part[at:end])
-                at = end
-
-    def known(self, word: str) -> tuple[int, bytes, bytes]:
-        """Count, decimal ids and token texts of a word, both joined by spaces."""
-        found = self.older.get(word)
-        if found is None:
-            raw = word.encode("utf-8")
-            if len(raw) < self.window:
-                ids = self.merge([*map(self.bare.__getitem__, raw[:-1]), self.last[raw[-1]]])
+    def _kind(self, c: str) -> str:
+        return "L" if self.letter(c) else "N" if self.number(c) else "O"
+
+    def _may_cut(self, text: str, at: int) -> bool:
+        """Whether nothing before ``at`` is joined with what follows, but for a word that goes on.
+
+        A mark or a later part of a syllable may join the character before, and
+        the pattern of words looks past an apostrophe.
+        """
+        before, c = text[at - 1], text[at]
+        if "'" in text[at - 3 : at + 1] or unicodedata.category(c)[0] == "M" or 0x1160 <= ord(c) <= 0x11FF:
+            return False
+        if c > "\xff" or before > "\xff":
+            self.unsettled = unsettled() if self.unsettled is None else self.unsettled
+            return c not in self.unsettled and before not in self.unsettled
+        return True
+
+    def pieces(self, text: str, at: int, end: int) -> Iterator[tuple[str, bool]]:
+        """Pieces of ``text[at:end]``, and whether a word may go on after each."""
+        while end - at > PIECE + FURTHER:
+            cut = at + PIECE
+            ends = [e for e in (text.find(" ", cut, cut + FURTHER), text.find("\n", cut, cut + FURTHER)) if e >= 0]
+            inside = not ends
+            if inside:
+                while cut < end and text[cut] not in WHITE_SPACE and not self._may_cut(text, cut):
+                    cut += 1
+                inside = cut < end and text[cut] not in WHITE_SPACE and text[cut - 1] not in WHITE_SPACE
             else:
-                ids = [i for part in self.word(raw) for i in part]
-            decimal, surface = self.decimal, self.surface
-            found = (len(ids), b" ".join([decimal[i] for i in ids]), b" ".join([surface[i] for i in ids]))
-        if len(word) <= 64:
-            if len(self.cache) >= CACHE:
-                self.older = dict(self.cache)
-                self.cache.clear()
-            self.cache[word] = found
-        return found
-
-    def encode(self, text: str | None) -> Iterator[int]:
-        """Token ids of a text, one by one."""
-        for special, words in self.pieces(text or ""):
-            if special is not None:
-                yield special
-            for word in words:
-                for part in self.word(word.encode("utf-8")):
-                    yield from part
+                cut = min(ends)
+            yield text[at:cut], inside
+            at = cut
+        yield text[at:end], False
+
+    def _plain(self, text: str, at: int, end: int) -> Iterator[list[int]]:
+        """Tokens of a stretch without special tokens."""
+        open_, kind = None, ""
+        for piece, inside in self.pieces(text, at, end):
+            if open_ is None and not inside and not CONTROL.search(piece):
+                yield list(chain.from_iterable(map(self.run_ids.__getitem__, piece.split())))
+                continue
+            words, out = self.split(piece), []
+            if open_ is not None:
+                if words and self._kind(words[0][0]) == kind and piece[0] not in WHITE_SPACE:
+                    out += open_.feed(words.pop(0).encode("utf-8"))
+                    if not words and inside:
+                        yield out
+                        continue
+                out += open_.close()
+                open_ = None
+            last = words.pop() if inside and words and self._kind(words[-1][-1]) != "N" else None
+            out += chain.from_iterable(map(self.word_ids.__getitem__, words))
+            if last is not None:
+                open_, kind = Word(self), self._kind(last[-1])
+                out += open_.feed(last.encode("utf-8"))
+            yield out
+        if open_ is not None:
+            yield open_.close()
+
+    def encode(self, text: str | None) -> Iterator[list[int]]:
+        """Token ids of a text, some at a time, as they become stable."""
+        text = text or ""
+        at = 0
+        for m in self.cut_special.finditer(text):
+            yield from self._plain(text, at, m.start())
+            yield [self.special[m[0]]]
+            at = m.end()
+        yield from self._plain(text, at, len(text))
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens and SHA-256 of the ids and of the decoded text."""
-        n, ids, out, cache = 0, hashlib.sha256(), hashlib.sha256(), self.cache
-        for special, words in self.pieces(text or ""):
-            if special is not None:
-                found = [(1, b"%d" % special, self.surface[special])]
-            else:
-                found = [cache.get(w) or self.known(w) for w in words]
-            if found:
-                if n:
-                    ids.update(b" ")
-                    out.update(b" ")
-                counts, decimal, surface = zip(*found)
-                n += sum(counts)
-                ids.update(b" ".join(decimal))
-                out.update(b" ".join(surface))
+        """Number of tokens and SHA-256 of the ids and of the text that the decoder makes of them."""
+        n, ids, out, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(self)
+        for some in self.encode(text):
+            if some:
+                ids.update((b" " if n else b"") + b" ".join(map(self.decimal.__getitem__, some)))
+                n += len(some)
+                out.update(decoder.feed(some).encode("utf-8"))
+        out.update(decoder.close().encode("utf-8"))
         return n, ids.hexdigest(), out.hexdigest()
 
 
 class Decoder:
-    """Ids to text, one id at a time.
+    """Ids to text, some at a time.
 
     The vocabulary file names no decoder; ``plain=False`` then gives what its
     library gives: token texts joined by one space. ``plain=True`` turns word
@@ -282,13 +348,18 @@ class Decoder:
     def __init__(self, coder: Transducer, plain: bool = False):
         self.coder, self.plain, self.first = coder, plain, True
         self.text = codecs.getincrementaldecoder("utf-8")("replace")
-        self.byte = {s: b for b, s in enumerate(coder.symbols)}
+        self.byte = {s: b for b, s in enumerate(coder.symbols)} if plain else {}
+
+    def feed(self, tokens: list[int]) -> str:
+        if not tokens:
+            return ""
+        if self.plain:
+            return "".join(map(self._one, tokens))
+        gap, self.first = "" if self.first else " ", False
+        return gap + " ".join(map(self.coder.token.__getitem__, tokens))
 
-    def feed(self, token: int) -> str:
+    def _one(self, token: int) -> str:
         t = self.coder.token[token]
-        if not self.plain:
-            gap, self.first = "" if self.first else " ", False
-            return gap + t
         if t in self.coder.special:
             return self.text.decode(b"", True) + t
         end = bool(self.coder.suffix) and t.endswith(self.coder.suffix)
@@ -320,7 +391,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batch):
         ids, texts = (c.to_pylist() for c in batch.columns)
-        return {"doc_id": ids, "ids": [list(coder(path).encode(t)) for t in texts]}
+        return {"doc_id": ids, "ids": [list(chain.from_iterable(coder(path).encode(t))) for t in texts]}
 
     return map_batches(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), run, "doc_id long, ids array<int>")
 
@@ -332,7 +403,7 @@ def decode_ids(encoded: DataFrame, path: str, plain: bool = False) -> DataFrame:
         out = []
         for ids in batch.column(1).to_pylist():
             d = Decoder(coder(path), plain)
-            out.append("".join([*map(d.feed, ids or []), d.close()]))
+            out.append(d.feed(ids or []) + d.close())
         return {"doc_id": batch.column(0), "text": out}
 
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
