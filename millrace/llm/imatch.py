@@ -1,41 +1,51 @@
 """I-Match fingerprints over randomised lexicon subsets, in SQL functions.
 
 The lexicon is the terms whose share of documents lies in a band: neither
-common words nor words of a few documents. A text's distinct terms in the
-lexicon are sorted and dealt, by a seeded hash, to ``SUBSETS`` subsets of the
-lexicon; the hash of each subset's terms, in order, is one part of the
-fingerprint. Two texts are alike by the share of equal parts among the parts
-for which either has terms.
-
-Document counts are taken over all documents, by partial sums in each task.
-The lexicon is kept as a bitmap of ``SLOT_BITS`` hashed slots, 512 KiB for any
-corpus, which every task looks up in place; a term is in the lexicon when its
-slot is. Neighbours in order of document ids are found by ranges of ids: the
-text goes through one shuffle by range, and the first document of a range also
-goes to the range before.
+common words nor words of a few documents. ``SPLITS`` random splits deal the
+whole lexicon, each anew, to 2, 8, 32 or 64 subsets, 120 in all, so every term is in
+eight subsets that overlap in all ways. A text's distinct terms of the lexicon
+are sorted, and the hash of those in a subset, in order, is that subset's part
+of the fingerprint. Parts of large subsets agree for texts with nearly all
+terms in common, parts of small ones for texts that share fewer. Two texts are
+alike by the share of equal parts among the parts for which either has terms.
+
+Document counts are taken over all documents, by partial sums in each task. A
+term of the band is in one document of a thousand at least, so the lexicon has
+at most a thousand times as many terms as a document has on average, whatever
+the corpus. It goes to every task as the terms' 64-bit hashes in buckets of
+about one, which are looked up in place; a term is in the lexicon only if its
+whole hash is there.
+
+Neighbours in order of document ids come from the ids alone: each document gets
+its rank, and its predecessor's half length. The document then sends as much of
+its text as that half, and its parts, to its predecessor. So texts move by
+hashes of id and text, and no task holds a range of them.
 
 Defined results: a null text is the empty text; a text without terms of the
 lexicon has parts made from its whole text, so that equal texts still have
 equal fingerprints; a null id stands last; among repeated ids the order is by
-the text's hash; a table of one row has itself as its next document; an empty
-table gives no rows; other columns are ignored.
+the text's hash, and each of several equal rows has the next one as its
+successor, the last the next document; a table of one row has itself as its
+next document; a text of any length is taken whole, in memory for its terms
+eight times; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.secrets import let, upto
+from millrace.llm.ranks import running
+from millrace.llm.secrets import let
 from millrace.storage import materialize
 
-SUBSETS = 64
-SLOT_BITS = 22
+#: Bits of each split: a split of b bits deals the lexicon to 2 ** b subsets.
+SPLITS = (1, 1, 1, 1, 3, 3, 5, 6)
+SUBSETS = sum(1 << b for b in SPLITS)
 #: Least and largest share of documents of a lexicon term.
 BAND = (0.001, 0.01)
 SEED = 6
-ROWS_A_RANGE = 4000
-_NULL_ID = -(2**63)
+KEY = ["nul", "id", "hash"]
 
 
 def terms_of(text: Column) -> Column:
@@ -43,99 +53,108 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
-def slot_of(term: Column) -> Column:
-    return F.xxhash64(term).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
-
-
 def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
-    """One row with the bitmap ``bits`` of slots of terms in the band."""
+    """One row: ``buckets``, the hashes of the band's terms by their lowest bits."""
     spark = docs.sparkSession
     n = docs.count()
-    counts = docs.select(F.explode(terms_of(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    own = counts.where((F.col("df") >= max(2, band[0] * n)) & (F.col("df") <= max(2, band[1] * n)))
-    slot = own.select(slot_of(F.col("term")).alias("slot"))
-    word = slot.groupBy(F.shiftright("slot", 6).cast("long").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    all_ = spark.range(1 << (SLOT_BITS - 6)).join(word, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
-    row = all_.groupBy().agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("words"))
-    return materialize(row.select(F.transform("words", lambda w: w["bits"]).alias("bits")), "imatch-lexicon")
+    counts = docs.select(F.explode(terms_of(F.col(f"`{text_col}`"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    band_ = counts.where((F.col("df") >= max(2, band[0] * n)) & (F.col("df") <= max(2, band[1] * n)))
+    own = materialize(band_.select(F.xxhash64("term").alias("h")), "imatch-terms")
+    slots = 1 << max(6, own.count().bit_length())
+    held = own.groupBy(F.col("h").bitwiseAND(F.lit(slots - 1)).alias("id")).agg(F.collect_list("h").alias("hs"))
+    none = F.array().cast("array<bigint>")
+    all_ = spark.range(slots).join(held, "id", "left").select("id", F.coalesce("hs", none).alias("hs"))
+    row = all_.groupBy().agg(F.array_sort(F.collect_list(F.struct("id", "hs"))).alias("rows"))
+    return materialize(row.select(F.transform("rows", lambda r: r["hs"]).alias("buckets")), "imatch-lexicon")
 
 
-def parts_of(text: Column, bits: Column) -> Column:
-    """The fingerprint's parts, 8 hexadecimal digits each; zeros where a subset has no terms."""
+def parts_of(text: Column, buckets: Column) -> Column:
+    """The fingerprint's parts, as whole numbers; 0 where a subset has no terms of the text."""
+    end = (1 << 31) - 1
 
     def known(t: Column) -> Column:
-        slot = slot_of(t)
-        return F.bit_get(F.get(bits, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+        found = lambda h: F.array_contains(F.get(buckets, h.bitwiseAND((F.size(buckets) - 1).cast("long")).cast("int")), h)
+        return let(F.xxhash64(t), found)
 
-    def dealt(terms: Column) -> Column:
-        return F.transform(terms, lambda t: F.struct(F.pmod(F.xxhash64(F.lit(SEED), t), F.lit(SUBSETS)).cast("int").alias("j"), t.alias("t")))
+    def subsets(term: Column, place: Column) -> Column:
+        """For each split the term's subset, with the term's place in the lower half of the number."""
 
-    def hashed(own: Column) -> Column:
-        def one(j: Column) -> Column:
-            line = F.array_join(F.transform(F.filter(own, lambda x: x["j"] == j), lambda x: x["t"]), " ")
-            return let(line, lambda s: F.when(s == "", "0" * 8).otherwise(F.substring(F.md5(s.cast("binary")), 1, 8)))
+        def cut(h: Column) -> Column:
+            out, first, bit = [], 0, 0
+            for b in SPLITS:
+                subset = F.shiftrightunsigned(h, bit).bitwiseAND(F.lit((1 << b) - 1).cast("long")) + first
+                out.append(F.shiftleft(subset, 32).bitwiseOR(place.cast("long")))
+                first, bit = first + (1 << b), bit + b
+            return F.array(*out)
 
-        whole = F.array_repeat(F.substring(F.md5(F.concat(F.lit(" "), text).cast("binary")), 1, 8), SUBSETS)
-        return F.when(F.size(own) == 0, whole).otherwise(F.transform(upto(F.lit(SUBSETS)), one))
+        return let(F.xxhash64(F.lit(SEED), term), cut)
 
-    return let(dealt(F.array_sort(F.filter(terms_of(text), known))), hashed)
+    def hashed(piece: Column) -> Column:
+        return F.greatest(F.shiftrightunsigned(F.xxhash64(piece), 33).cast("int"), F.lit(1))
+
+    def dealt(terms: Column) -> Column:
+        # Numbers sort by subset and then by term; an end stands after each subset's last term.
+        ends = F.array(*[F.lit((j << 32) | end).cast("long") for j in range(SUBSETS)])
+        numbers = F.sort_array(F.concat(F.flatten(F.transform(terms, subsets)), ends))
+        line = F.array_join(F.transform(numbers, lambda x: let(x.bitwiseAND(F.lit(end).cast("long")).cast("int"), lambda k: F.when(k == end, F.lit("\n")).otherwise(F.get(terms, k)))), " ")
+        pieces = F.slice(F.split(line, "\n", -1), 1, SUBSETS)
+        parts = F.transform(pieces, lambda p: let(F.trim(p), lambda s: F.when(s == "", F.lit(0)).otherwise(hashed(s))))
+        return F.when(F.size(terms) == 0, F.array_repeat(hashed(F.concat(F.lit(" "), text)), SUBSETS)).otherwise(parts)
+
+    return let(F.array_sort(F.filter(terms_of(text), known)), dealt)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal parts among those that are not empty on both sides."""
-    empty = F.lit("0" * 8)
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != empty)), lambda z: z))
-    some = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != empty) | (y != empty)), lambda z: z))
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x == y) & (x != 0)), lambda z: z))
+    some = F.size(F.filter(F.zip_with(a, b, lambda x, y: (x != 0) | (y != 0)), lambda z: z))
     return F.when(some > 0, same / some).otherwise(F.lit(1.0))
 
 
-def ranges(ids: DataFrame) -> tuple[DataFrame, int]:
-    """Largest id of each range of ids, as one row's array ``firsts`` in falling order, and the number of ranges."""
-    n = ids.count()
-    wanted = max(64, n // ROWS_A_RANGE)
-    dealt = ids.repartitionByRange(wanted, F.desc("id")).groupBy(F.spark_partition_id().alias("r")).agg(F.max("id").alias("first"))
-    row = dealt.groupBy().agg(F.sort_array(F.collect_set("first"), asc=False).alias("firsts"))
-    row = materialize(row, "imatch-ranges")
-    return row, row.select(F.size("firsts")).first()[0]
-
-
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, range, own (false: here only as a neighbour), in ranges of falling ids."""
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    row, n = ranges(slim.select("id"))
-    if not n:
-        return slim.select("*", F.lit(0).alias("range"), F.lit(True).alias("own"), F.lit(0).alias("turn"))
-    firsts = row.scalar()
-    found = slim.withColumn("at", F.lit(0))
-    for step in (1 << k for k in reversed(range(n.bit_length()))):
-        further = F.coalesce(F.get(firsts, F.col("at") + (step - 1)) >= F.col("id"), F.lit(False))
-        found = found.withColumn("at", F.when(further, F.col("at") + step).otherwise(F.col("at")))
-    placed = found.withColumn("range", F.col("at") - 1).withColumn("head", F.get(firsts, F.col("range")) == F.col("id"))
-    here = F.struct(F.col("range"), F.lit(True).alias("own"), F.lit(0).alias("turn"))
-    there = F.struct(F.when(F.col("range") == 0, F.lit(n - 1)).otherwise(F.col("range") - 1).alias("range"), F.lit(False).alias("own"), F.lit(1).alias("turn"))
-    both = placed.withColumn("to", F.explode(F.when(F.col("head"), F.array(here, there)).otherwise(F.array(here))))
-    return both.select("id", "doc_id", "text", "to.range", "to.own", "to.turn")
+def written(parts: Column) -> Column:
+    """Eight hexadecimal digits a part."""
+    return F.array_join(F.transform(parts, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+
+
+def neighbours(slim: DataFrame) -> DataFrame:
+    """For each different row (nul, id, hash): to_nul, to_id, to_hash, its predecessor's, and need, half the predecessor's length."""
+    rows = slim.groupBy(*KEY).agg(F.first("n_chars").alias("n_chars")).withColumn("one", F.lit(1).cast("long"))
+    down = rows.withColumn("down", F.expr("~id"))
+    ranked = materialize(running(down, ["nul", "down", "hash"], {"rank": "one"}, "imatch-order"), "imatch-ranks")
+    n = max(1, ranked.count())
+    before = ranked.select(*[F.col(k).alias(f"to_{k}") for k in KEY], F.floor(F.col("n_chars") / 2).cast("int").alias("need"), ((F.col("rank") + 1) % n).alias("rank"))
+    return before.join(ranked.select(*KEY, "rank").hint("merge"), "rank").drop("rank")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    bitmap = F.broadcast(lexicon(docs, text_col, band))
-    order = Window.partitionBy("range").orderBy("turn", F.desc("id"), F.xxhash64("text"))
-    after = with_next(docs, id_col, text_col).withColumn("next", F.lead("text").over(order)).withColumn("n_chars", F.length("text").cast("long"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))
-    texts = after.withColumn("edited", F.when(F.col("own"), edited).otherwise(F.lit("")))
-    bits = F.col("bits")
-    done = texts.crossJoin(bitmap).select(
-        "doc_id", "id", "range", "own", "turn", "n_chars", F.xxhash64("text").alias("hash"), F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        parts_of(F.col("text"), bits).alias("mine"), F.when(F.col("own"), parts_of(F.col("edited"), bits)).alias("other"),
+    buckets = F.broadcast(lexicon(docs, text_col, band))
+    id_ = F.col(f"`{id_col}`").cast("long")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(id_.isNull().alias("nul"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    wanted = neighbours(rows.select(*KEY, F.length("text").alias("n_chars")))
+    # Equal rows become one, with their number. Both uses below read this shuffle's output, so they need the same columns.
+    parts = rows.crossJoin(buckets).select(*KEY, "text", parts_of(F.col("text"), F.col("buckets")).alias("mine"))
+    one = parts.groupBy(*KEY).agg(F.first("text").alias("text"), F.first("mine").alias("mine"), F.count(F.lit(1)).alias("copies"))
+    sent = one.where("copies > 0").join(wanted.hint("merge"), KEY).select(
+        *[F.col(f"to_{k}").alias(k) for k in KEY], F.substring("text", F.lit(1), F.col("need")).alias("start"), F.col("mine").alias("after")
+    )
+    met = one.where("copies > 0").join(sent.hint("merge"), KEY)
+    half = F.floor(F.length("text") / 2).cast("int")
+    again = F.struct((F.col("copies") - 1).alias("times"), F.substring("text", F.lit(1), half).alias("start"), F.col("mine").alias("after"))
+    last = F.struct(F.lit(1).cast("long").alias("times"), F.col("start"), F.col("after"))
+    turns = met.withColumn("turn", F.explode(F.when(F.col("copies") > 1, F.array(again, last)).otherwise(F.array(last))))
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.col("turn.start"))
+    texts = turns.select(*KEY, F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "mine", "turn.after", "turn.times")
+    done = texts.crossJoin(buckets).select(
+        F.when(~F.col("nul"), F.col("id")).alias("doc_id"), "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "mine", "after", "times",
+        parts_of(F.col("edited"), F.col("buckets")).alias("other"),
     )
-    again = Window.partitionBy("range").orderBy("turn", F.desc("id"), "hash")
-    lead = done.withColumn("next", F.lead("mine").over(again)).where("own")
-    return lead.select(
-        "doc_id", "n_chars", "edited_sha256", F.array_join("mine", "").alias("fingerprint"), F.array_join("other", "").alias("edited_fingerprint"),
-        likeness(F.col("mine"), F.col("other")).alias("near_edited"), likeness(F.col("mine"), F.col("next")).alias("near_next"),
+    found = done.select(
+        "doc_id", "n_chars", "edited_sha256", written(F.col("mine")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
+        likeness(F.col("mine"), F.col("other")).alias("near_edited"), likeness(F.col("mine"), F.col("after")).alias("near_next"), "times",
     )
+    return found.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
