@@ -2,21 +2,25 @@
 
 Every node of a page's element tree has one of three states: M, a frame that
 holds the article and other things; C, the article; B, anything else. A node's
-features (element, words of class and id, amount of text, share of linked text,
-sentence marks, form parts) give its own potential, and a parent and a child
-are joined by a potential too. Sum-product messages go up the tree once and
+features (element, words of class and id, amount of text, share of linked text
+in its block, sentence marks, form parts) give its own potential, and a parent
+and a child are joined by a potential too. Sum-product messages go up the tree once and
 down once and give each node's exact marginals; a piece of text is kept if its
 most likely state is C.
 
 The potentials are counts over labelled pages. The given table has no labels,
 so the pages are written by ``labelled_page``: a seeded writer of layouts in
-common use, which marks each element with its state. Training takes
+common use, which marks each element with its state. Nearly half of its
+classes and ids are none or say nothing, and one article in five has no element
+of its own, so that the model doesn't live by names. Training takes
 ``TRAIN_PAGES`` of them, on the driver, whatever the size of the input, and the
 model that goes to the tasks has a few hundred numbers.
 
 Defined results: a null or empty page, or one without an article, gives the
-empty text; cut-off pages are read as far as they go; repeated rows give equal
-rows; an empty table gives no rows; other columns are ignored.
+empty text; cut-off pages are read as far as they go; a piece of text whose
+likeliest states tie is left out; a page of any length is read whole, in memory
+for its tree; repeated rows give equal rows; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,12 +47,12 @@ WORDS = {
     "side": "sidebar side aside rail widget complementary related recommended teaser more popular trending",
     "ad": "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion outbrain taboola",
     "note": "cookie cookies consent notice gdpr alert popup modal overlay newsletter subscribe subscription paywall warning message",
-    "talk": "comment comments reply replies respond disqus discussion thread",
+    "talk": "comment comments reply replies respond response responses disqus discussion thread guestbook feedback reviews",
     "form": "form login signup search register",
     "share": "share sharing social follow meta byline tags tag author date",
 }
 GROUP = {w: g for g, ws in WORDS.items() for w in ws.split()}
-TAGS = frozenset("html head body div section article main nav header footer aside form ul ol li p h1 h2 h3 h4 h5 h6 a b i em strong span table tr td th blockquote pre figure figcaption dl dt dd button br hr img label input title script style".split())
+TAGS = frozenset("html head body div section article main nav header footer aside form ul ol li p h1 h2 h3 h4 h5 h6 a b i em strong span table tr td th blockquote pre figure figcaption dl dt dd details summary fieldset legend center font button br hr img label input title script style".split())
 FRAMES = frozenset("header footer aside nav section div form article main".split())
 #: Weights of evidence: features of a node repeat each other, words of class and id less than the rest.
 WEIGHT = defaultdict(lambda: 0.7, {"word": 1.5})
@@ -76,11 +80,16 @@ def features(tree: Tree) -> list[list]:
         linked[p] += linked[i]
         marks[p] += marks[i]
         form[p] = form[p] or form[i]
-    out = []
+    out, block = [], list(range(n))
     for i in range(n):
-        share = -1 if not size[i] else min(4, linked[i] * 5 // size[i])
+        if i and (tree.tag[i] is None or tree.tag[i] in INLINE):
+            block[i] = block[tree.parent[i]]
+        b = block[i]  # a link in a sentence is judged by its block
+        share = -1 if not size[b] else min(4, linked[b] * 5 // size[b])
         dense = 0 if not size[i] else min(3, marks[i] * 40 // size[i])
         own = [("link", share)]
+        if tree.tag[i] is None or tree.tag[i] in INLINE:
+            own.append(("in", tree.tag[b] if tree.tag[b] in TAGS else "other"))
         if tree.tag[i] is not None:  # a piece of text goes by its element, whose amounts it has
             own += [("size", min(12, size[i].bit_length())), ("marks", dense)]
             own += [("tag", tree.tag[i] if tree.tag[i] in TAGS else "other"), ("form", form[i] and size[i] < 400)]
@@ -204,10 +213,20 @@ def labelled_page(r: random.Random) -> str:
         return out if r.random() < 0.8 else f"{out} <a href='/{word()}'>{word()} {word()}</a> {sentence()}" if r.random() < 0.6 else f"<b>{sentence()}</b> {out}"
 
     def named(words: str, extra: str = "") -> str:
-        w = r.choice(words.split())
-        w = r.choice([w, w, f"{w}-{r.choice(['box', 'area', 'wrapper', 'list', 'container', 'inner', word()])}", f"{word()}-{w}", f"site-{w}", f"{w} {word()}"])
+        """A class or id: of the known words, of no known word, or none."""
+        x = r.random()
+        if x < 0.2:
+            return extra
+        if x < 0.45:
+            w = r.choice([word(), f"{word()}-{word()}", f"{word()} {word()}", f"col-{r.randint(1, 12)}", "wrap", "outer", "inner", "block"])
+        else:
+            w = r.choice(words.split())
+            w = r.choice([w, w, f"{w}-{r.choice(['box', 'area', 'wrapper', 'list', 'container', 'inner', word()])}", f"{word()}-{w}", f"site-{w}", f"{w} {word()}"])
         return f" {r.choice(['class', 'class', 'id'])}=\"{w}\"{extra}"
 
+    def sometimes() -> str:
+        return f" class='{r.choice([word(), 'lead', 'intro', 'title', 'first', word()])}'" if r.random() < 0.12 else ""
+
     def links(lo: int = 2, hi: int = 9) -> str:
         items = [f"<li><a href='/{word()}'>{' '.join(word() for _ in range(r.randint(1, 4)))}</a></li>" for _ in range(r.randint(lo, hi))]
         return f"<ul>{''.join(items)}</ul>" if r.random() < 0.7 else " ".join(x[4:-5] for x in items)
@@ -245,42 +264,55 @@ def labelled_page(r: random.Random) -> str:
 
     def part() -> str:
         x = r.random()
-        if x < 0.43:
-            return f"<p>{prose()}</p>"
-        if x < 0.50:
-            tag = r.choice(["b", "b", "strong", "em", "i", "span"])
+        if x < 0.36:
+            return f"<p{sometimes()}>{prose()}</p>"
+        if x < 0.41:
+            return f"<p>{sentence()} <a href='/{word()}'>{word()} {word()}</a>, {sentence()}<sup><a href='#{word()}'>{r.randint(1, 9)}</a></sup></p>"
+        if x < 0.48:
+            tag = r.choice(["b", "b", "strong", "em", "i", "span", "font"])
             return f"<p><{tag}>{prose()}{r.choice([f'</{tag}></p>', '<br>'])}"
-        if x < 0.60:
+        if x < 0.57:
             return f"<p>{' '.join(word() for _ in range(r.choice([1, 1, 2, 5, 30])))}</p>"
-        if x < 0.74:
-            return f"<p>{sentence(1, 1) if x < 0.68 else sentence(1, 4)}</p>"
-        if x < 0.80:
-            return f"<h2>{sentence(1, 6)}</h2>"
+        if x < 0.70:
+            return f"<p>{sentence(1, 1) if x < 0.64 else sentence(1, 4)}</p>"
+        if x < 0.76:
+            h = r.choice(["h2", "h2", "h3"])
+            return f"<{h}{sometimes()}>{sentence(1, 6)}</{h}>"
+        if x < 0.83:
+            tag = r.choice(["ul", "ul", "ol"])
+            return f"<{tag}{sometimes()}>" + "".join(f"<li>{sentence(1, 14)}</li>" for _ in range(r.randint(2, 6))) + f"</{tag}>"
         if x < 0.86:
-            return "<ul>" + "".join(f"<li>{sentence(2, 14)}</li>" for _ in range(r.randint(2, 6))) + "</ul>"
-        if x < 0.89:
             return f"<blockquote><p>{prose(1, 2)}</p></blockquote>"
-        if x < 0.92:
+        if x < 0.89:
             return "<table>" + "".join(f"<tr><td>{word()}</td><td>{sentence(1, 6)}</td></tr>" for _ in range(r.randint(1, 4))) + "</table>"
-        if x < 0.95:
+        if x < 0.91:
             return f"<figure><img src='x'><figcaption>{sentence(2, 9)}</figcaption></figure>"
-        if x < 0.97:
+        if x < 0.93:
             return f"<pre>{sentence()}</pre>"
-        return f"<div>{prose()}</div>"
+        if x < 0.95:
+            return f"<details><summary>{sentence(1, 6)}</summary><p>{prose(1, 3)}</p></details>"
+        if x < 0.96:
+            return f"<fieldset><legend>{word()}</legend><p>{prose(1, 2)}</p></fieldset>"
+        if x < 0.97:
+            return "<dl>" + "".join(f"<dt>{word()}</dt><dd>{sentence()}</dd>" for _ in range(r.randint(1, 4))) + "</dl>"
+        return f"<div{sometimes()}>{prose()}</div>"
 
-    title = f"<h1>{sentence(2, 10)}</h1>"
+    title = f"<h1{sometimes()}>{sentence(1, 10)}</h1>" if r.random() < 0.85 else f"<h2{sometimes()}>{sentence(1, 8)}</h2>"
     parts = [part() for _ in range(r.choice([0, 1, 2, 3, 4, 6, 9, 14, 25]))]
     if r.random() < 0.9:
         parts.insert(0, f"<header>{title}</header>" if r.random() < 0.05 else title)
     for _ in range(r.choice([0, 0, 0, 1, 1, 2])):
-        parts.insert(r.randint(0, len(parts)), junk(r.choice("ad ad ad note share related form side talk".split())))
-    tag = r.choice("article article article main div div section td".split())
+        parts.insert(r.randint(0, len(parts)), junk(r.choice("ad ad ad note share form related side talk talk".split())))
+    tag = r.choice("article article article main div div div section td bare bare".split())
     own = named(WORDS["body"]) if tag in ("div", "section", "td") and r.random() < 0.9 or r.random() < 0.3 else ""
-    article = f'<{tag} data-y="C"{own}>{"".join(parts)}</{tag}>'
-    if r.random() < 0.15:
+    if tag == "bare":  # the article's blocks stand in a frame by themselves
+        article = "".join(re.sub(r"^<([a-z0-9]+)", r'<\1 data-y="C"', p) if 'data-y="B"' not in p[: p.index(">")] else p for p in parts)
+    else:
+        article = f'<{tag} data-y="C"{own}>{"".join(parts)}</{tag}>'
+    if tag not in ("bare", "td") and r.random() < 0.15:
         article = f'<div data-y="C"{named("content page main wrap")}>{article}</div>'
-    before = [junk(k) for k in ("head", "nav", "ad", "note", "side", "form", "share") if r.random() < (0.6 if k in ("head", "nav") else 0.25)]
-    after = [junk(k) for k in ("talk", "related", "side", "ad", "note", "share", "form", "foot") if r.random() < (0.85 if k == "foot" else 0.25)]
+    before = [] if tag == "bare" and r.random() < 0.3 else [junk(k) for k in ("head", "nav", "ad", "note", "side", "form", "share") if r.random() < (0.6 if k in ("head", "nav") else 0.25)]
+    after = [] if not before and tag == "bare" and r.random() < 0.6 else [junk(k) for k in ("talk", "related", "side", "ad", "note", "share", "form", "foot") if r.random() < (0.85 if k == "foot" else 0.25)]
     middle = f"{''.join(before)}{article}{''.join(after)}"
     if r.random() < 0.4:
         k = r.randint(0, len(before))
