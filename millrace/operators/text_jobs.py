@@ -6,11 +6,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import key_of, lines, unicode_trim, value_of, words
 from millrace.plans import mapreduce
+from millrace.sources.text import read_lines
 
 HOST = "^https?://([^/:?#]+)"
 LINK = 'href="([^"]*)"'
@@ -36,12 +37,31 @@ def word_count(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def inverted_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """word and the sorted ids of the texts that hold it, joined by commas."""
+    """word and the sorted ids of the texts that hold it, joined by commas: a row a word, so for tables whose commonest word fits one.
+
+    ``postings`` has no such bound.
+    """
     one = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(words(F.col(text_col)))).alias("word"))
     ids = F.transform(F.array_sort(F.collect_set("id")), lambda x: x.cast("string"))
     return one.groupBy("word").agg(F.array_join(ids, ",").alias("docs"))
 
 
+#: Ids of one block of postings.
+BLOCK = 4096
+
+
+def postings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """word, block and the sorted ids of the block that hold the word, joined by commas.
+
+    A block is ``block`` ids in a row, so no row and no group is larger, however
+    common a word is.
+    """
+    number = F.col(id_col).cast("long")
+    one = df.select(number.alias("id"), F.expr(f"`{id_col}` div {block}").alias("block"), F.explode(F.array_distinct(words(F.col(text_col)))).alias("word"))
+    ids = F.transform(F.array_sort(F.collect_set("id")), lambda x: x.cast("string"))
+    return one.groupBy("word", "block").agg(F.array_join(ids, ",").alias("docs"))
+
+
 def grep(df: DataFrame, needle: str, text_col: str = "text") -> DataFrame:
     """Rows whose text holds ``needle``."""
     return df.where(F.col(text_col).contains(needle))
@@ -84,13 +104,38 @@ def distinct_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([k for k, _, _ in split], pa.string()), pa.array(values, pa.string())], names=["key", "value"])
 
 
-def distinct_lines_by_partition(df: DataFrame, text_col: str = "text", num_reduces: int = 4) -> DataFrame:
+def distinct_lines_by_partition(df: DataFrame, text_col: str = "text", num_reduces: int | None = None) -> DataFrame:
     """The same as ``distinct_lines`` through Arrow functions."""
     given = df.select(F.explode(lines(F.col(text_col))).alias("value"))
     made = mapreduce.partitions(given, distinct_map, mapreduce.by_key(lambda key, values: [key]), num_reduces)
     return mapreduce.in_order(made).select(F.col("line").alias("key"))
 
 
+def distinct_bytes_map(given: bytes) -> bytes:
+    """The same map as a function of a partition's bytes."""
+    from millrace.functions.text import WHITE_SPACE
+
+    found = (x.strip(WHITE_SPACE) for x in given.decode("utf-8").split("\n"))
+    return "".join(f"{x}\t1\n" for x in found if x).encode("utf-8")
+
+
+def distinct_bytes_reduce(given: bytes) -> bytes:
+    """Each key of sorted records, once."""
+    out: list[bytes] = []
+    for record in given.split(b"\n"):
+        key = record.partition(b"\t")[0]
+        if key and (not out or out[-1] != key):
+            out.append(key)
+    return b"".join(x + b"\n" for x in out)
+
+
+def distinct_lines_of_files(spark: SparkSession, path: str, num_reduces: int | None = None) -> DataFrame:
+    """Distinct trimmed lines of text files, by functions of a partition's bytes."""
+    map_, reduce = mapreduce.as_bytes(distinct_bytes_map, "map"), mapreduce.as_bytes(distinct_bytes_reduce, "reduce")
+    made = mapreduce.partitions(read_lines(spark, path), map_, reduce, num_reduces)
+    return mapreduce.in_order(made).select(F.col("line").alias("key"))
+
+
 def combined_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map of texts to (word, count), added up inside each batch."""
     import re
@@ -103,18 +148,18 @@ def combined_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(list(held), pa.string()), pa.array(map(str, held.values()), pa.string())], names=["key", "value"])
 
 
-def word_count_by_partition(df: DataFrame, text_col: str = "text", num_reduces: int = 4) -> DataFrame:
+def word_count_by_partition(df: DataFrame, text_col: str = "text", num_reduces: int | None = None) -> DataFrame:
     """The same as ``word_count`` through Arrow functions with a combiner in map."""
     reduce = mapreduce.by_key(lambda key, values: [f"{key}\t{sum(map(int, values))}"])
     made = mapreduce.partitions(df.select(text_col), combined_words, reduce, num_reduces)
     return made.select(key_of(F.col("line")).alias("word"), value_of(F.col("line")).cast("long").alias("n"))
 
 
-def values_in_order(df: DataFrame, key_col: str, value_col: str, order: list[str], num_reduces: int = 4) -> DataFrame:
+def values_in_order(df: DataFrame, key_col: str, value_col: str, order: list[str], num_reduces: int | None = None) -> DataFrame:
     """key and its values in the given order, joined by commas: the order is carried through the shuffle."""
     given = df.select(F.col(key_col).cast("string").alias("key"), F.col(value_col).cast("string").alias("value"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(order)])
     names = [f"_{k}" for k in range(len(order))]
-    sorted_ = given.repartition(mapreduce.check_reduces(num_reduces), "key").sortWithinPartitions("key", *names).select("key", "value")
+    sorted_ = given.repartition(mapreduce.check_reduces(df.sparkSession, num_reduces), "key").sortWithinPartitions("key", *names).select("key", "value")
     from millrace.session import ship
 
     ship(df.sparkSession)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import key_of, record_line, value_of
@@ -23,7 +23,10 @@ RECORD = "key string, value string"
 LINE = "line string"
 
 
-def check_reduces(num_reduces: int) -> int:
+def check_reduces(spark: SparkSession, num_reduces: int | None) -> int:
+    """The number of reduces; the session's number of shuffle partitions if none is given."""
+    if num_reduces is None:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
     if num_reduces < 1:
         raise ValueError(f"num_reduces must be 1 or more, not {num_reduces}")
     return num_reduces
@@ -43,13 +46,13 @@ def records(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(line != "").select(key_of(line).alias("key"), value_of(line).alias("value"))
 
 
-def shuffled(mapped: DataFrame, num_reduces: int, value_order: bool = False) -> DataFrame:
+def shuffled(mapped: DataFrame, num_reduces: int | None = None, value_order: bool = False) -> DataFrame:
     """Records in ``num_reduces`` partitions by key, each in key order.
 
     value_order: values of a key stay in the order in which map emitted them,
     by partition of the input and place in it.
     """
-    check_reduces(num_reduces)
+    num_reduces = check_reduces(mapped.sparkSession, num_reduces)
     if not value_order:
         return mapped.repartition(num_reduces, "key").sortWithinPartitions("key")
     numbered = mapped.withColumn("_ord", F.monotonically_increasing_id())
@@ -60,16 +63,44 @@ def partitions(
     df: DataFrame,
     map: Callable[[Batches], Batches],  # noqa: A002
     reduce: Callable[[Batches], Batches],
-    num_reduces: int = 4,
+    num_reduces: int | None = None,
     value_order: bool = False,
     schema: str = LINE,
+    most_ratio: float | None = None,
 ) -> DataFrame:
-    """Arrow functions on both sides. map gives key and value (non-null key); reduce gives ``schema``."""
-    check_reduces(num_reduces)
+    """Arrow functions on both sides. map gives key and value (non-null key); reduce gives ``schema``.
+
+    most_ratio: a task fails once it has made more than so many times the bytes
+    that it has read (1,024 bytes at least are allowed).
+    """
+    num_reduces = check_reduces(df.sparkSession, num_reduces)
     ship(df.sparkSession)
+    if most_ratio is not None:
+        map, reduce = capped(map, most_ratio), capped(reduce, most_ratio)  # noqa: A001
     return shuffled(df.mapInArrow(map, RECORD), num_reduces, value_order).mapInArrow(reduce, schema)
 
 
+def capped(fn: Callable[[Batches], Batches], most_ratio: float) -> Callable[[Batches], Batches]:
+    """``fn`` that fails as soon as its output is larger than ``most_ratio`` times what it has read."""
+
+    def run(batches: Batches) -> Batches:
+        read = made = 0
+
+        def counted() -> Batches:
+            nonlocal read
+            for b in batches:
+                read += b.nbytes
+                yield b
+
+        for out in fn(counted()):
+            made += out.nbytes
+            if made > max(1024, most_ratio * read):
+                raise ValueError(f"a task made {made} bytes of {read}")
+            yield out
+
+    return run
+
+
 def in_order(lines: DataFrame, column: str = "line") -> DataFrame:
     """Total order of lines as they stand in a file, each with its LF: a tab sorts before a line's end."""
     return lines.orderBy(F.concat(F.col(column), F.lit("\n")))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from millrace.functions.text import WHITE_SPACE
 from millrace.operators import tables, text_jobs
 from millrace.plans import mapreduce
-from millrace.sources.text import generated_lines
+from millrace.sources.text import LETTERS, LONGEST, SHORTEST, generated_lines, generated_rows, write_text
+from millrace.storage import new_path
 
 PRICE = 450_000
 
@@ -47,11 +48,19 @@ def columns_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapreduce.columns(docs, F.concat_ws("/", "source", "lang"), [F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")], where=F.length("text") > 0)
 
 
+def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files, and a job of functions of bytes over their lines."""
+    path = new_path(spark, "file-lines")
+    write_text(_read(spark, sf_dir, "documents").where(F.col("text").isNotNull()), path, "text")
+    return text_jobs.distinct_lines_of_files(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distinct_lines": _on("documents", text_jobs.distinct_lines),
     "line_count": _on("documents", text_jobs.line_count),
     "word_count": _on("documents", text_jobs.word_count),
     "inverted_index": _on("documents", text_jobs.inverted_index),
+    "postings": _on("documents", text_jobs.postings),
     "grep": grep,
     "url_host_count": _on("pages", text_jobs.url_host_count),
     "reverse_links": _on("pages", text_jobs.reverse_links),
@@ -71,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "last_event_of_user": _on("events", tables.last_event_of_user),
     "ranked_brands": _on("part", tables.ranked_brands),
     "generated_lines": lambda spark, sf_dir: generated_lines(spark, 1),
+    "file_lines": file_lines,
 }
 
 _LINES = "SELECT unnest(string_split(text, chr(10))) AS l FROM documents"
@@ -79,8 +89,19 @@ _KEYS = f"SELECT DISTINCT split_part(line, chr(9), 1) AS key FROM ({_TRIMMED}) W
 _WORDS = "SELECT {0}, unnest(regexp_split_to_array(lower({1}), '[^a-z0-9]+')) AS word FROM {2}"
 _COUNT = f"SELECT word, count(*) AS n FROM ({_WORDS.format('doc_id', 'text', 'documents')}) WHERE word <> '' GROUP BY word"
 
+def _generated() -> str:
+    """Letters of a line from its digest, as in ``generated_lines``."""
+    letters = " || ".join(f"substr('{LETTERS}', ({'a' if k < 10 else 'b'} // {26 ** (k % 10)} % 26 + 1)::INTEGER, 1)" for k in range(LONGEST))
+    number = "('0x' || substr(d, {}, {}))::BIGINT"
+    cut = f"{number.format(1, 15)} AS a, {number.format(16, 15)} AS b, {number.format(31, 2)} % {LONGEST - SHORTEST + 1} + {SHORTEST} AS size"
+    return f"SELECT substr({letters}, 1, size::INTEGER) AS value FROM (SELECT {cut} FROM (SELECT md5(i || ':0') AS d FROM range({generated_rows(1)}) t(i)))"
+
+
 ORACLE_SQL: dict[str, str] = {
     "distinct_lines": _KEYS,
+    "file_lines": _KEYS,
+    "generated_lines": _generated(),
+    "postings": f"SELECT word, doc_id // {text_jobs.BLOCK} AS block, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM (SELECT DISTINCT doc_id, word FROM ({_WORDS.format('doc_id', 'text', 'documents')}) WHERE word <> '') GROUP BY word, block",
     "partition_reduce": _KEYS,
     "line_count": f"SELECT line, count(*) AS n FROM ({_TRIMMED}) WHERE line <> '' GROUP BY line",
     "word_count": _COUNT,

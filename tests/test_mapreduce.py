@@ -98,3 +98,22 @@ def test_native_plan_adds_up_before_the_shuffle(spark):
     df = spark.createDataFrame([("a",)], "text string")
     plan = mapreduce.columns(df, F.col("text"), [F.count(F.lit(1)).alias("n")])._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan
+
+
+def test_reduces_follow_the_session(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "value string")
+    made = mapreduce.partitions(df, distinct_map, mapreduce.by_key(lambda k, v: [k]))
+    assert made.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_task_that_makes_too_much_fails(spark):
+    def grows(batches):
+        for _ in batches:
+            for _ in range(100):
+                yield pa.record_batch([pa.array(["x" * 100] * 50), pa.array(["1"] * 50)], names=["key", "value"])
+
+    df = spark.createDataFrame([("a" * 100,)] * 20, "value string").coalesce(1)
+    one = mapreduce.by_key(lambda k, v: [k])
+    with pytest.raises(Exception, match="a task made"):
+        mapreduce.partitions(df, grows, one, 1, most_ratio=4).collect()
+    assert mapreduce.partitions(df, distinct_map, one, 1, most_ratio=4).count() == 1

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import storage
 from millrace.operators.text_jobs import distinct_map
 from millrace.plans import job, mapreduce
 from millrace.sources.text import generated_lines, read_lines, write_text
@@ -104,6 +105,72 @@ def test_deadline_stops_an_endless_function(spark):
     assert h.state is job.State.FAILED and isinstance(h.error, TimeoutError) and time.time() - began < 50
 
 
+def test_the_second_attempt_succeeds(spark, tmp_path):
+    mark = os.path.join(tmp_path, "tried")
+
+    def breaks_once(batches):
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise RuntimeError("no")
+        yield from distinct_map(batches)
+
+    df = spark.createDataFrame([("b",), ("a",)], "value string").coalesce(1)
+    h = job.submit(spark, breaks_once, ONE, df, num_reduces=1).wait()
+    assert h.status()["status"] == "done" and h.attempt == 2 and list(h.result()) == ["a", "b"]
+    os.remove(mark)
+    h = job.submit(spark, breaks_once, ONE, df, num_reduces=1, attempts=1).wait()
+    assert h.status()["status"] == "failed" and h.attempt == 1
+    with pytest.raises(ValueError):
+        job.JobHandle(spark, lambda: df, attempts=0)
+
+
+def test_a_job_on_a_path_is_found_by_its_id_and_leaves_no_files(spark, tmp_path):
+    path = put(tmp_path, "in.txt", b"b\n a\nb\n\n")
+    h = job.submit(spark, distinct_map, ONE, path, num_reduces=2, most_ratio=100).wait()
+    assert job.find(h.id) is h and job.find(h.id).status()["status"] == "done"
+    at = h._path.removeprefix("file://")
+    assert os.path.isdir(at)
+    lines = h.result()
+    assert next(lines) == "a" and os.path.isdir(at)
+    assert list(lines) == ["b"] and not os.path.exists(at)
+    h.close()
+    with pytest.raises(job.Unknown):
+        job.find(h.id)
+
+
+def test_a_result_that_cannot_be_opened_can_be_asked_for_again(spark, monkeypatch):
+    h = job.submit(spark, distinct_map, ONE, spark.range(1).selectExpr("'a' value"), num_reduces=1).wait()
+    order = mapreduce.in_order
+    monkeypatch.setattr(job.mapreduce, "in_order", lambda lines: order(lines).select((1 / 0)))
+    with pytest.raises(ZeroDivisionError):
+        h.result()
+    monkeypatch.setattr(job.mapreduce, "in_order", order)
+    assert list(h.result()) == ["a"]
+
+
+def test_tables_go_when_nothing_reads_them(spark):
+    made = []
+    with storage.collected(made):
+        a = storage.materialize(spark.range(3), "test-a")
+        b = storage.materialize(a.where("id > 0"), "test-b")
+    assert len(made) == 2 and storage.read_by(b) and a.count() == 3
+    kept = storage.discard(spark, made, keep=b.select("id").distinct())
+    assert len(kept) == 1 and b.count() == 2
+    assert storage.discard(spark, kept) == []
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Fake:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Fake)
+
+
 def test_streams(spark, tmp_path):
     folder, mark = tmp_path / "in", tmp_path / "mark"
     folder.mkdir()
@@ -118,3 +185,12 @@ def test_streams(spark, tmp_path):
     q = live.writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.event_type, r.n) for r in spark.table("windows").collect()] == [("x", 2)]
+
+
+def test_a_stream_of_new_lines_with_a_time_forgets(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", "a"), ("2024-01-01 00:10:00", "a "), ("2024-01-01 00:20:00", "b")]
+    spark.createDataFrame(rows, "t string, value string").selectExpr("cast(t as timestamp) t", "value").write.parquet(f"{tmp_path}/timed")
+    live = stream.new_lines(spark.readStream.schema("t timestamp, value string").parquet(f"{tmp_path}/timed"), "t", "30 minutes")
+    q = live.writeStream.format("memory").queryName("timed").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.key for r in spark.table("timed").collect()) == ["a", "b"]
