@@ -14,7 +14,9 @@ worst. Payloads never go through a shuffle.
 
 Defined results: a null text is the empty text, whose payload is one line of
 192 spaces; repeated rows and equal texts share one payload and get equal
-values; an empty table gives no rows; other columns are ignored.
+values, and of several places of a digest the least is kept; a text of any
+length is one payload, in memory for its bytes and its lines; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

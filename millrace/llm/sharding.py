@@ -11,9 +11,11 @@ divisible, ranges taken as atomic), and asks for finer sums only of the ranges
 in which a cut can lie, until these are single groups.
 
 Defined results: a null text has size 1 and is in the group of the empty text;
-repeated rows each get a slot of their own; an empty table gives no rows; other columns are ignored. A group
-larger than an equal share takes a shard alone and the rest is cut among the
-other shards.
+repeated rows each get a slot of their own, in order of id and text's hash; of
+groups with equal sizes the one with the smaller hash comes first; a text of
+any length is one group, of which only size and hashes are kept; an empty table
+gives no rows; other columns are ignored. A group larger than an equal share
+takes a shard alone and the rest is cut among the other shards.
 """
 
 from __future__ import annotations
