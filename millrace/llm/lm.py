@@ -1,33 +1,41 @@
 """Language-model scores from a log-bilinear neural model.
 
-The model predicts a token's class from the two classes before it. The end and
-each of the most common words are classes of their own; every other word, known
-or not, is in one of the cells of a hash, which are classes too. Both numbers
-follow the corpus: ``OWN`` times the square root of its tokens, cells up to as
-many, so that the model grows with the input and still fits a task. Classes in
-order of their counts are cut into groups, about as many as a group has
-classes. The chance of a class is that of its group times that of the class
-within it; both are log-bilinear: the product of a weighted sum of the
-context's vectors with the vector of the group or class, plus a bias.
+The model predicts a token's class from the two classes before it in its
+document. The end and each of the most common words are classes of their own;
+every other word, known or not, is in one of the cells of a hash, which are
+classes too. Both numbers follow the corpus: ``OWN`` times the square root of
+its tokens, cells up to as many, so that the model grows with the input.
+Classes in order of their counts are cut into groups of equal sums of square
+roots of counts, as many as make groups and classes within a group cost the
+same for a token. The chance of a class is that of its group times that of the
+class within it; both are log-bilinear: the product of a weighted sum of the
+context's vectors with the vector of the group or class, whose last place is a
+bias.
 
 Training is noise-contrastive: a batch's groups against noise groups drawn from
 the counts and shared by the batch, and each class against classes drawn from
-its group, whose counts are alike, with Adagrad steps, in numpy. A task trains
-on its own part of the training tokens, all of them, from one start, and hands
-on the vectors that it changed; a vector's value in the model is their mean by
-the number of times it was changed. Scores are normalised by matrix products,
-over all groups and over all classes of the token's group. Within its cell a
-word has its share of counts with one added, with one share for all unknown
-words of the cell, so the chances of all tokens sum to 1.
+its group, whose counts are alike, with Adagrad steps, in numpy. The training
+documents are dealt by a hash to parts of about ``PART`` tokens, each in the
+order of the hash, so the parts are the same however the input is split. Each
+part trains on all its tokens from one start and hands on the vectors that it
+changed; a vector's value in the model is their mean by the number of times it
+was changed, added up in the order of the parts. Scores are normalised by
+matrix products, over all groups and over all classes of the token's group.
+Within its cell a word has its share of counts with one added, with one share
+for all unknown words of the cell, so the chances of all tokens sum to 1.
 
 Counts of all training tokens are grouped sums. The ``HEAD`` most common words
 (or the words with classes of their own, if these are more) go to every task
 with their counts; the tokens of other words, a small part, meet their counts in
-a join.
+a join. Texts are cut into words twice: for the counts, and for a table of
+classes that training and scoring read.
 
 Defined results: a null text is the empty text and has one token, the end; a
 null id is counted as the empty id, which is in training; repeated rows get
-equal values; an empty table gives no rows; other columns are ignored.
+equal values; words with equal counts are taken in order of their letters, and
+documents with equal hashes have equal texts; a text of any length is trained
+and scored whole, in memory for its classes; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import ROWS_A_PIECE
@@ -48,19 +56,26 @@ from millrace.session import ship
 from millrace.storage import materialize
 
 #: Words with classes of their own: this times the square root of the tokens.
-OWN = 4
+OWN = 8
 HEAD = 1 << 17
-WIDTH = 32
+#: Length of a vector, with its bias.
+WIDTH = 24
 NOISE = 64
 #: Noise classes for each token, from the group of its class.
 NOISE_INSIDE = 2
-BATCH = 4096
-RATE = 0.1
+BATCH = 1024
+RATE = 0.12
+#: Sums of squared gradients at the start: of vectors of classes, and of groups and weights.
+FIRST, FIRST_GROUP = 0.01, 1e-4
 SEED = 5
+#: Tokens that one task trains on.
+PART = 1 << 24
+#: Rows of a table of vectors that are handed on together.
+ROWS = 1 << 12
+#: Tokens that are normalised together.
+BLOCK = 512
 #: Words whose counts a task holds before it hands them on.
 HELD = 1 << 19
-#: Splits of the input that one training task reads, if there are more than enough for the cores.
-SPLITS = 8
 END, OTHER = 0, 1
 LOG10 = math.log(10)
 
@@ -69,9 +84,9 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").lower().split()
 
 
-def held_out(id_col: str):
+def held_out(id_: Column) -> Column:
     """Whether a row is held out: crc32 of its id as text is 2 modulo 7."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -171,151 +186,189 @@ class Groups:
         order = np.argsort(-class_counts, kind="stable")
         self.rank = np.empty(n, dtype=np.int64)
         self.rank[order] = np.arange(n)
-        mass = np.sqrt(class_counts[order] + 1)
-        k = math.ceil(math.sqrt(n))
+        share = (class_counts[order] + 1) / (class_counts + 1).sum()
+        mass = np.sqrt(share)
+        # A token costs k for its group and, cut like this, sum(mass) ** 2 / k on average inside: least at k = sum(mass).
+        k = math.ceil(mass.sum())
         part = np.minimum(((np.cumsum(mass) - mass / 2) / mass.sum() * k).astype(np.int64), k - 1)
         self.edges = np.r_[0, np.flatnonzero(np.diff(part)) + 1, n]
-        group = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        self.wide = np.diff(self.edges)
+        group = np.repeat(np.arange(len(self.wide)), self.wide)
         self.group_of = group[self.rank]
-        share = class_counts[order] + 1
-        own = np.add.reduceat(share, self.edges[:-1])
-        self.noise = own / own.sum()
-        self.inside = share / own[group]
+        self.noise = np.add.reduceat(share, self.edges[:-1])
+        self.inside = share / self.noise[group]
 
 
 class Model:
-    """Parameters: context vectors, vectors and biases of groups and of classes (in the groups' order), and a weight vector for each place of the context."""
+    """Vectors of classes as contexts, of groups, of classes in the groups' order, and a weight vector for each place of the context."""
 
     def __init__(self, groups: Groups, parts: list[np.ndarray]):
         self.groups = groups
-        self.context, self.target, self.bias, self.place, self.inner, self.inner_bias = parts
+        self.context, self.inner, self.target, self.place = parts
 
     @classmethod
     def start(cls, groups: Groups, width: int = WIDTH, seed: int = SEED) -> Model:
         r = np.random.default_rng(seed)
         draw = lambda n: r.standard_normal((n, width), dtype=np.float32) * np.float32(0.1)
-        n, k = len(groups.rank), len(groups.noise)
-        place = np.array([[0.5], [1.0]], dtype=np.float32).repeat(width, axis=1)
-        return cls(groups, [draw(n), draw(k), np.log(groups.noise).astype(np.float32), place, draw(n), np.log(groups.inside).astype(np.float32)])
+        context, inner, target = draw(len(groups.rank)), draw(len(groups.rank)), draw(len(groups.noise))
+        context[:, -1], inner[:, -1], target[:, -1] = 0, np.log(groups.inside), np.log(groups.noise)
+        return cls(groups, [context, inner, target, np.array([[0.5], [1.0]], dtype=np.float32).repeat(width, axis=1)])
 
     @property
     def parts(self) -> list[np.ndarray]:
-        return [self.context, self.target, self.bias, self.place, self.inner, self.inner_bias]
+        return [self.context, self.inner, self.target, self.place]
 
     def predicted(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
-        return self.place[0] * self.context[two] + self.place[1] * self.context[one]
+        """From the context's vectors; the last place is 1, for the bias."""
+        q = one * self.place[1]
+        q += two * self.place[0]
+        q[:, -1] = 1
+        return q
 
     def log_chances(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the normalised chance of each target after classes ``two``, ``one``."""
         edges = self.groups.edges
         group, at = self.groups.group_of[target], self.groups.rank[target]
         order = np.argsort(group, kind="stable")
-        q = self.predicted(two[order], one[order])
+        q = self.predicted(self.context[two[order]], self.context[one[order]])
         group, at = group[order], at[order]
-        logs = np.empty(len(target))
+        logs = np.empty(len(target), dtype=np.float32)
 
-        def chosen(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray, k: np.ndarray) -> np.ndarray:
+        def chosen(q: np.ndarray, vectors: np.ndarray, k: np.ndarray) -> np.ndarray:
             s = q @ vectors.T
-            s += bias
-            own = s[np.arange(len(k)), k]
-            most = s.max(axis=1)
-            s -= most[:, None]
-            return own - most - np.log(np.exp(s, out=s).sum(axis=1))
-
-        for k in range(0, len(target), 2048):
-            p = slice(k, k + 2048)
-            logs[p] = chosen(q[p], self.target, self.bias, group[p])
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else []
+            s -= s[np.arange(len(k)), k][:, None]
+            most = s.max(initial=0)
+            if most > 80:
+                s = s.astype(np.float64)
+                return -(most + np.log(np.exp(s - most).sum(axis=1)))
+            return -np.log(np.exp(s, out=s).sum(axis=1))
+
+        for k in range(0, len(target), BLOCK):
+            p = slice(k, k + BLOCK)
+            logs[p] = chosen(q[p], self.target, group[p])
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(group) else []
         for lo, hi in zip(first, [*first[1:], len(group)]):
             a, b = edges[group[lo]], edges[group[lo] + 1]
             if b - a > 1:
-                for k in range(lo, hi, 2048):
-                    p = slice(k, min(k + 2048, hi))
-                    logs[p] += chosen(q[p], self.inner[a:b], self.inner_bias[a:b], at[p] - a)
+                for k in range(lo, hi, BLOCK):
+                    p = slice(k, min(k + BLOCK, hi))
+                    logs[p] += chosen(q[p], self.inner[a:b], at[p] - a)
         out = np.empty(len(target))
         out[order] = logs
         return out
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Trainer:
-    """Noise-contrastive estimation with Adagrad."""
+    """Noise-contrastive estimation with Adagrad: a rate for each vector of a class, and for each number of groups and weights."""
 
     def __init__(self, class_counts: np.ndarray, seed: int = SEED):
         self.groups = Groups(class_counts)
-        self.log_noise = np.log(self.groups.noise * NOISE).astype(np.float32)
-        self.edges = np.cumsum(self.groups.noise)
         self.model = Model.start(self.groups, seed=seed)
-        # Groups and weights take the mean gradient of a batch, vectors of classes its sum: a rare class is in few batches.
-        self.sums = [np.full(p.shape, 1e-4 if k in (1, 2, 3) else 1.0, dtype=np.float32) for k, p in enumerate(self.model.parts)]
-        self.times = [np.zeros(self.model.context.shape[0], dtype=np.int64) for _ in range(2)]
+        self.log_noise = np.log(self.groups.noise * NOISE).astype(np.float32)
+        self.log_inside = np.log(NOISE_INSIDE / self.groups.wide).astype(np.float32)
+        self.drawn = np.cumsum(self.groups.noise)
+        n = len(self.groups.rank)
+        self.sums = [np.full(n, FIRST, np.float32) for _ in range(2)]
+        self.group_sums = [np.full(p.shape, FIRST_GROUP, np.float32) for p in self.model.parts[2:]]
+        self.times = [np.zeros(n, dtype=np.int64) for _ in range(2)]
         self.r = np.random.default_rng(seed + 1)
         self.seen = 0
 
-    def _rows(self, at: np.ndarray, g: np.ndarray, n: int) -> np.ndarray:
-        order = np.argsort(at, kind="stable")
-        at, g = at[order], g[order]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        out = np.zeros((n, *g.shape[1:]), dtype=np.float32)
-        out[at[first]] = np.add.reduceat(g, first, axis=0)
-        return out
-
-    def _step(self, k: int, g: np.ndarray, rows=slice(None)) -> None:
-        p, s = self.model.parts[k], self.sums[k]
-        sums = s[rows] + g * g
-        s[rows] = sums
-        p[rows] -= RATE * g / np.sqrt(sums)
-
-    def _sparse(self, at: np.ndarray, times: np.ndarray, *pairs: tuple[int, np.ndarray]) -> None:
-        """Steps of the rows ``at``, each taken once: (part, gradient of each entry)."""
+    def _vectors(self, k: int, at: np.ndarray, g: np.ndarray) -> None:
+        """A step of the vectors ``at`` of table ``k``, each with the sum of its gradients."""
         at, order = np.divmod(np.sort(at * len(at) + np.arange(len(at))), len(at))
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         rows = at[first]
-        times[rows] += np.diff(np.r_[first, len(at)])
-        for k, g in pairs:
-            self._step(k, np.add.reduceat(g[order], first, axis=0), rows)
-
-    def batch(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> None:
+        self.times[k][rows] += np.diff(np.r_[first, len(at)])
+        g = np.add.reduceat(g[order], first, axis=0)
+        sums = self.sums[k][rows]
+        sums += np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+        self.sums[k][rows] = sums
+        g *= (np.float32(-RATE) / np.sqrt(sums))[:, None]
+        table = self.model.parts[k]
+        g += table[rows]
+        table[rows] = g
+
+    def _dense(self, k: int, g: np.ndarray) -> None:
+        self.group_sums[k - 2] += g * g
+        part = self.model.parts[k]
+        part -= np.float32(RATE) * g / np.sqrt(self.group_sums[k - 2])
+
+    def batch(self, run: np.ndarray, pick: np.ndarray) -> None:
+        """One step. run: classes in a row; pick: places from 2 on that are tokens to predict."""
         m, groups = self.model, self.groups
-        n = len(groups.noise)
-        group = groups.group_of[target]
-        drawn = np.minimum(np.searchsorted(self.edges, self.r.random(NOISE)), n - 1)
-        q = m.predicted(two, one)
-        true = np.einsum("ij,ij->i", q, m.target[group]) + m.bias[group] - self.log_noise[group]
-        false = q @ m.target[drawn].T + m.bias[drawn] - self.log_noise[drawn]
-        size = np.float32(1 / len(target))
-        g_true = ((1 / (1 + np.exp(-np.clip(true, -30, 30)))) - 1).astype(np.float32)
-        g_false = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32)
-        g_q = g_true[:, None] * m.target[group] + g_false @ m.target[drawn]
-        g_target = self._rows(group, g_true[:, None] * q, n)
+        n, size = len(pick), np.float32(1 / len(pick))
+        vectors = m.context[run[:-1]]
+        target = run[pick]
+        group, order = np.divmod(np.sort(groups.group_of[target] * n + np.arange(n)), n)
+        place, target = pick[order] - 2, target[order]
+        q = m.predicted(vectors[:-1], vectors[1:])[place]
+
+        # Groups: the true ones, in order, against noise that the batch shares.
+        drawn = np.minimum(np.searchsorted(self.drawn, self.r.random(NOISE)), len(groups.noise) - 1)
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        g_q = np.repeat(m.target[group[first]], np.diff(np.r_[first, n]), axis=0)
+        g_true = _sigmoid(np.einsum("ij,ij->i", q, g_q) - self.log_noise[group]) - 1
+        noise = m.target[drawn]
+        false = q @ noise.T
+        false -= self.log_noise[drawn]
+        g_false = _sigmoid(false)
+        g_q *= g_true[:, None]
+        g_q += g_false @ noise
+        g_target = np.zeros_like(m.target)
         np.add.at(g_target, drawn, g_false.T @ q)
-        g_bias = np.bincount(group, weights=g_true, minlength=n).astype(np.float32)
-        np.add.at(g_bias, drawn, g_false.sum(axis=0))
-
-        wide = groups.edges[group + 1] - groups.edges[group]
-        pick = np.flatnonzero(wide > 1)
-        if len(pick):
-            wide = wide[pick]
-            noise = groups.edges[group[pick]][:, None] + (self.r.random((len(pick), NOISE_INSIDE), dtype=np.float32) * wide[:, None]).astype(np.int64)
-            noise = np.minimum(noise, groups.edges[group[pick] + 1][:, None] - 1)
-            at = np.concatenate([groups.rank[target[pick]][:, None], noise], axis=1)
-            vectors, own = m.inner[at], q[pick]
-            s = np.matmul(vectors, own[:, :, None])[:, :, 0] + m.inner_bias[at] - np.log(NOISE_INSIDE / wide).astype(np.float32)[:, None]
-            g = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            g[:, 0] -= 1
-            g_q[pick] += np.matmul(g[:, None, :], vectors)[:, 0]
-            self._sparse(at.ravel(), self.times[1], (4, (g[:, :, None] * own[:, None, :]).reshape(-1, own.shape[1])), (5, g.ravel()))
-
-        g_place = np.stack([(g_q * m.context[two]).sum(axis=0), (g_q * m.context[one]).sum(axis=0)])
-        self._sparse(np.concatenate([two, one]), self.times[0], (0, np.concatenate([g_q * m.place[0], g_q * m.place[1]])))
-        for k, g in ((1, g_target), (2, g_bias), (3, g_place)):
-            self._step(k, g * size)
-        self.seen += len(target)
+        g_target[group[first]] += np.add.reduceat(g_true[:, None] * q, first, axis=0)
+
+        # Classes within groups: the true one in row 0, noise of its group below.
+        wide = groups.wide[group]
+        at = np.empty((NOISE_INSIDE + 1, n), dtype=np.int64)
+        at[0] = groups.rank[target]
+        at[1:] = np.minimum((self.r.random((NOISE_INSIDE, n), dtype=np.float32) * wide).astype(np.int64), wide - 1) + groups.edges[group]
+        inner = m.inner[at]
+        g_inner = np.empty_like(inner)
+        alone = wide == 1
+        for k in range(NOISE_INSIDE + 1):
+            g = _sigmoid(np.einsum("ij,ij->i", inner[k], q) - self.log_inside[group])
+            if k == 0:
+                g -= 1
+            g[alone] = 0
+            np.multiply(q, g[:, None], out=g_inner[k])
+            inner[k] *= g[:, None]
+            g_q += inner[k]
+
+        g_q[:, -1] = 0
+        g_all = np.zeros((len(run) - 2, q.shape[1]), np.float32)
+        g_all[place] = g_q
+        g_place = np.stack([np.einsum("ij,ij->j", g_all, vectors[:-1]), np.einsum("ij,ij->j", g_all, vectors[1:])])
+        g_context = np.zeros_like(vectors)
+        g_context[1:] = g_all * m.place[1]
+        g_context[:-1] += g_all * m.place[0]
+        self._vectors(0, run[:-1], g_context)
+        self._vectors(1, at.ravel(), g_inner.reshape(-1, q.shape[1]))
+        self._dense(2, g_target * size)
+        self._dense(3, g_place * size)
+        self.seen += n
 
     def learn(self, classes: np.ndarray) -> None:
-        """One pass over a run of classes (documents in a row, each with its end)."""
-        for k in range(2, len(classes), BATCH):
-            t = np.arange(k, min(k + BATCH, len(classes)))
-            self.batch(classes[t - 2], classes[t - 1], classes[t])
+        """One pass over a run of classes (documents in a row, each with its end). A document starts after two ends."""
+        ends = np.flatnonzero(classes == END) + 1
+        run = np.concatenate([[END, END], np.insert(classes, ends, END)])
+        token = np.ones(len(run), dtype=bool)
+        token[:2] = False
+        token[ends + np.arange(len(ends)) + 2] = False
+        with np.errstate(over="ignore"):
+            for k in range(2, len(run), BATCH):
+                pick = np.flatnonzero(token[k : k + BATCH]) + 2
+                if len(pick):
+                    self.batch(run[k - 2 : k + BATCH], pick)
 
 
 def class_run(vocab: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,91 +388,92 @@ def class_run(vocab: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, n
     return place, class_, ends
 
 
-def train(training: DataFrame, vocab: Vocabulary, seed: int = SEED) -> Model:
-    """The mean of the models that tasks train, each on its part of ``training`` (text)."""
-    spark = training.sparkSession
+def train(tokens: DataFrame, vocab: Vocabulary, seed: int = SEED) -> Model:
+    """The mean of the models that parts train, each on its documents. tokens: mix (a hash), classes."""
+    spark = tokens.sparkSession
     shared = spark.sparkContext.broadcast(vocab)
-    schema = "part int, row long, times long, change binary"
-    names, kinds = ["part", "row", "times", "change"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-
-    def record(part: int, rows: np.ndarray, times: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
-        width = change.shape[1] * change.itemsize
-        flat = pa.py_buffer(np.ascontiguousarray(change))
-        at = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width))
-        cols = [pa.array(np.full(len(rows), part), kinds[0]), pa.array(rows, kinds[1]), pa.array(times, kinds[2]), pa.Array.from_buffers(pa.binary(), len(rows), [None, at, flat])]
+    count = max(1, -(-vocab.tokens // PART))
+    names = ["part", "block", "of", "rows", "times", "change"]
+
+    def record(part: int, block: int, of: int, rows: np.ndarray, times: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+        cols = [pa.array([x], pa.int32()) for x in (part, block, of)] + [pa.array([x.tobytes()], pa.binary()) for x in (rows, times, change)]
         return pa.record_batch(cols, names=names)
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Trainer(shared.value.class_counts, seed)
+    def changes(own: Trainer, of: int) -> Iterator[pa.RecordBatch]:
+        now, start = own.model.parts, Model.start(own.groups, seed=seed).parts
+        for k in range(4):
+            times = own.times[k] if k < 2 else np.full(len(now[k]), own.seen)
+            for at in range(0, len(times), ROWS):
+                rows = np.flatnonzero(times[at : at + ROWS])
+                if len(rows):
+                    change = (now[k][at + rows] - start[k][at + rows]).astype(np.float16 if k < 2 else np.float32)
+                    yield record(k, at // ROWS, of, rows.astype(np.int16), times[at + rows].astype(np.int64), change)
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by part; a task may have several."""
+        own, of = None, -1
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS_A_PIECE):
-                _, classes, _ = class_run(shared.value, batch.column(0).slice(k, ROWS_A_PIECE).to_pylist())
-                own.learn(np.concatenate([[END, END], classes]))
-        if own.seen:
-            start, now = Model.start(own.groups, seed=seed), own.model
-            yield record(0, np.zeros(1, np.int64), np.array([own.seen]), np.concatenate([(p - q).ravel() for p, q in zip(now.parts[1:4], start.parts[1:4])])[None].astype(np.float16))
-            for part, times, get in ((1, own.times[0], lambda m, r: m.context[r]), (2, own.times[1], lambda m, r: np.c_[m.inner[r], m.inner_bias[r]])):
-                rows = np.flatnonzero(times)
-                for k in range(0, len(rows), 1 << 14):
-                    r = rows[k : k + (1 << 14)]
-                    yield record(part, r, times[r], (get(now, r) - get(start, r)).astype(np.float16))
+            parts = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if parts[lo] != of:
+                    if own is not None:
+                        yield from changes(own, of)
+                    own, of = Trainer(shared.value.class_counts, seed), int(parts[lo])
+                for k in range(lo, hi, ROWS_A_PIECE):
+                    piece = batch.column(2).slice(k, min(hi - k, ROWS_A_PIECE))
+                    own.learn(np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in piece]).astype(np.int64))
+        if own is not None:
+            yield from changes(own, of)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = shared.value.classes
-        sums, seen = [None, None, None], [np.zeros(1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)]
+        """Rows come by part and block, in the order of who made them."""
+        sums, seen, now = None, None, None
+
+        def done() -> pa.RecordBatch:
+            rows = np.flatnonzero(seen)
+            mean = (sums[rows] / seen[rows, None]).astype(np.float32)
+            return record(*now, 0, rows.astype(np.int16), seen[rows], mean)
+
         for batch in batches:
-            part, row, times = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for k in np.unique(part):
-                pick = np.flatnonzero(part == k)
-                change = np.stack([np.frombuffer(b, np.float16) for b in batch.column(3).take(pa.array(pick)).to_pylist()]).astype(np.float32)
-                if sums[k] is None:
-                    sums[k] = np.zeros((len(seen[k]), change.shape[1]), np.float32)
-                np.add.at(sums[k], row[pick], change * times[pick, None])
-                np.add.at(seen[k], row[pick], times[pick])
-        for k in range(3):
-            rows = np.flatnonzero(seen[k])
-            for at in range(0, len(rows), 1 << 14):
-                r = rows[at : at + (1 << 14)]
-                mean = (sums[k][r] / seen[k][r, None]).astype(np.float32)
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([r.tobytes()], pa.binary()), pa.array([mean.tobytes()], pa.binary())], names=["part", "rows", "change"])
-
-    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-training.rdd.getNumPartitions() // SPLITS))
-    made = materialize(training.coalesce(tasks).mapInArrow(parts, schema), "lm-parts")
-    rows = made.repartition(8, "part", "row").mapInArrow(summed, "part int, rows binary, change binary").collect()
+            for part, block, _, rows, times, change in zip(*(c.to_pylist() for c in batch.columns)):
+                rows, times = np.frombuffer(rows, np.int16), np.frombuffer(times, np.int64)
+                change = np.frombuffer(change, np.float16 if part < 2 else np.float32).reshape(len(rows), -1)
+                if now != (part, block):
+                    if now is not None:
+                        yield done()
+                    now, sums, seen = (part, block), np.zeros((ROWS, change.shape[1])), np.zeros(ROWS, np.int64)
+                sums[rows] += change * times[:, None].astype(np.float64)
+                seen[rows] += times
+        if now is not None:
+            yield done()
+
+    schema = "part int, block int, of int, rows binary, times binary, change binary"
+    dealt = tokens.select(F.pmod("mix", F.lit(count)).cast("int").alias("part"), "mix", "classes")
+    # As many partitions as parts, or a task would train many while others wait.
+    dealt = dealt.repartitionById(count, "part").sortWithinPartitions("part", "mix", F.length("classes"))
+    made = materialize(dealt.mapInArrow(trained, schema), "lm-parts")
+    rows = made.repartition("part", "block").sortWithinPartitions("part", "block", "of").mapInArrow(summed, schema).collect()
     model = Trainer(vocab.class_counts, seed).model
     for r in rows:
-        at = np.frombuffer(r.rows, np.int64)
-        change = np.frombuffer(r.change, np.float32).reshape(len(at), -1)
-        if r.part == 0:
-            done = 0
-            for p in model.parts[1:4]:
-                p += change[0, done : done + p.size].reshape(p.shape)
-                done += p.size
-        elif r.part == 1:
-            model.context[at] += change
-        else:
-            model.inner[at] += change[:, :-1]
-            model.inner_bias[at] += change[:, -1]
+        at = np.frombuffer(r.rows, np.int16).astype(np.int64) + r.block * ROWS
+        model.parts[r.part][at] += np.frombuffer(r.change, np.float32).reshape(len(at), -1)
     return model
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    ship(spark)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
-    training = slim.where("not held_out").select("text")
-    counts = materialize(word_counts(training), "lm-counts")
-    vocab, least = vocabulary(counts, training.count())
-    model = train(training, vocab, seed)
-    shared = spark.sparkContext.broadcast((vocab, model.groups, model.parts))
-    names = ("key", "doc_id", "held_out", "n_tokens", "known", "base", "model", "words", "times")
-    schema = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, words array<string>, times array<int>"
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32())]
+def token_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """For each of ``docs`` (doc_id, text, held_out, mix): its classes, and what doesn't depend on the model.
+
+    n_tokens, known and base (of words in the list); share: log10 of the shares
+    of counts within cells; words and times of others.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    names = ("key", "doc_id", "held_out", "mix", "n_tokens", "known", "base", "share", "words", "times", "classes")
+    schema = "key long, doc_id long, held_out boolean, mix long, n_tokens long, known long, base double, share double, words array<string>, times array<int>, classes binary"
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, groups, parts = shared.value
-        model = Model(groups, parts)
+        vocab = shared.value
         log_cell = np.log10(vocab.cell_tokens + vocab.cell_kinds + 1)
         log_count = np.log10(vocab.counts + 1.0) if len(vocab.counts) else np.zeros(1)
         end_log = math.log10(vocab.ends + 1)
@@ -430,46 +484,77 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
                 texts = piece.column(1).to_pylist()
                 place, class_, ends = class_run(vocab, texts)
                 starts = np.concatenate([[0], ends[:-1] + 1])
-                one = np.concatenate([[END], class_[:-1]])
-                two = np.concatenate([[END, END], class_[:-2]])[: len(class_)]
-                second = starts[starts < ends] + 1
-                one[starts], two[starts], two[second] = END, END, END
-                logs = model.log_chances(two, one, class_) / LOG10
                 listed = np.where(place >= 0, log_count[np.maximum(place, 0)], np.where(place == -2, end_log, 0.0))
                 other = (class_ >= OTHER) & (class_ < OTHER + vocab.cells)
-                logs[other] += np.where(place >= 0, listed, 0.0)[other] - log_cell[class_[other] - OTHER]
-                sums = [np.add.reduceat(x, starts) for x in ((place != -1).astype(np.int64), listed, logs)]
+                share = np.zeros(len(class_))
+                share[other] = np.where(place >= 0, listed, 0.0)[other] - log_cell[class_[other] - OTHER]
+                sums = [np.add.reduceat(x, starts) for x in ((place != -1).astype(np.int64), listed, share)]
                 words, times = [], []
                 for t, s, e in zip(texts, starts, ends):
-                    if (place[s:e] == -1).any():
-                        own = words_of(t)
-                        rare = Counter(own[k].decode("utf-8") for k in np.flatnonzero(place[s:e] == -1))
-                        words.append(list(rare))
-                        times.append(list(rare.values()))
-                    else:
-                        words.append([])
-                        times.append([])
+                    rare = np.flatnonzero(place[s:e] == -1)
+                    own = words_of(t) if len(rare) else []
+                    found = Counter(own[k] for k in rare)
+                    words.append([w.decode("utf-8") for w in found])
+                    times.append(list(found.values()))
                 n = len(texts)
-                cols = [np.arange(key, key + n), piece.column(0), piece.column(2), ends - starts + 1, *sums, words, times]
+                classes = [class_[s : e + 1].astype(np.int32).tobytes() for s, e in zip(starts, ends)]
+                cols = [np.arange(key, key + n), piece.column(0), piece.column(2), piece.column(3), ends - starts + 1, *sums, words, times, classes]
                 key += n
                 yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds)], names=list(names))
 
-    rows = materialize(slim.mapInArrow(run, schema), "lm-rows")
+    return docs.select("doc_id", "text", "held_out", "mix").mapInArrow(run, schema)
+
+
+def model_scores(tokens: DataFrame, model: Model) -> DataFrame:
+    """``tokens`` with ``model``, log10 of the chance of a document's classes, instead of the classes and words."""
+    shared = tokens.sparkSession.sparkContext.broadcast((model.groups, model.parts))
+    slim = tokens.select("key", "doc_id", "held_out", "n_tokens", "known", "base", "share", "classes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_A_PIECE):
+                piece = batch.slice(at, ROWS_A_PIECE)
+                own = [np.frombuffer(x.as_buffer(), np.int32) for x in piece.column(7)]
+                class_ = np.concatenate(own).astype(np.int64)
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in own])[:-1]])
+                # The token before a text's first is an end; so is the second one before its second.
+                one = np.concatenate([[END], class_[:-1]])
+                two = np.concatenate([[END, END], class_[:-2]])[: len(class_)]
+                one[starts], two[starts] = END, END
+                logs = model.log_chances(two, one, class_) / LOG10
+                cols = [*piece.columns[:7], pa.array(np.add.reduceat(logs, starts), pa.float64())]
+                yield pa.record_batch(cols, names=[*piece.schema.names[:7], "model"])
+
+    schema = "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, share double, model double"
+    return slim.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    ship(docs.sparkSession)
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    slim = docs.select(id_.cast("long").alias("doc_id"), text.alias("text"), held_out(id_).alias("held_out"), F.xxhash64(F.lit(seed), id_, text).alias("mix"))
+    training = slim.where("not held_out").select("text")
+    counts = materialize(word_counts(training), "lm-counts")
+    vocab, least = vocabulary(counts, training.count())
+    rows = materialize(token_rows(slim, vocab), "lm-tokens")
+    model = train(rows.where("not held_out"), vocab, seed)
+    scores = model_scores(rows, model)
     rare = rows.select("key", F.explode(F.arrays_zip("words", "times")).alias("r")).select("key", F.col("r.words").alias("word"), F.col("r.times").alias("times"))
     tail = counts.where(F.floor(F.log2("c") * 16) < least)
     found = rare.join(tail, "word", "left").groupBy("key").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("more"),
     )
-    tokens, kinds_ = float(vocab.tokens), float(vocab.kinds)
-    base_log = math.log10(tokens + kinds_ + 1)
+    base_log = math.log10(float(vocab.tokens) + float(vocab.kinds) + 1)
     more = F.coalesce("more", F.lit(0.0))
     known = F.lit(-1) if not vocab.ends else F.lit(0)
-    return rows.join(found, "key", "left").select(
+    return scores.join(found, "key", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0)) + known).cast("long").alias("n_known"),
         F.lit(vocab.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * base_log).alias("base_score"),
-        (F.col("model") + more).alias("score"),
+        (F.col("model") + F.col("share") + more).alias("score"),
     )
 
 
