@@ -1,39 +1,48 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
 A document is its set of hashed word shingles, and its sketch is the ``K``
-smallest values. Equal sets are one class, with its smallest id as
-representative. Then, over representatives:
+smallest values. Rows with equal sets are one class. Then, over classes:
 
 1. Inverted lists. For a similarity of ``THRESHOLD`` two sketches share at
    least ``LEAST_SHARED`` values (chance of less: under 2e-7). So two linked
-   documents share a value among the ``K - LEAST_SHARED + 1`` rarest of each
+   classes share a value among the ``K - LEAST_SHARED + 1`` rarest of each
    sketch, by number of sketches that hold a value; only these enter lists, and
    values held by one sketch make none. Common shingles fall out by that.
-2. Union-sketch filter. In a list, pairs whose sizes or whose estimate from the
-   smallest values of the union of both sketches rule out a link are dropped.
-   What is left in a list goes out as a few rows for each document at most, and
-   the components of these rows are the clusters: linked documents are in one.
-3. Exact Jaccard. A document's full set goes to its cluster only; all
-   intersections come from products of 0/1 matrices; links go out as a star for
-   each group, so n documents give n - 1 rows at most.
+2. Union-sketch filter. In a list, two classes may be linked unless their sizes
+   or the estimate from the smallest values of the union of both sketches rule
+   it out. What hangs together by such pairs is a cluster, so linked classes
+   are in one cluster.
+3. Exact Jaccard. A class's full set goes to its cluster, and pairs are
+   confirmed by intersections counted over the cluster's own inverted lists.
 4. Components of the links, by rounds of minimum labels.
 
-A list or cluster of more than ``CELL`` documents is cut into blocks and its
-block pairs are dealt over tasks, so none has to fit a task and none is capped.
+Steps 2 and 3 search breadth first: what a class finds leaves the search, so a
+group in which all are alike costs one comparison a class, and gives one edge a
+class. A list or cluster that is too large for one task (``CELL`` entries, or
+``CELL_BYTES`` of sets) is dealt over blocks; its most central class, the one
+with the most shared values, goes to all of them. Classes that aren't tied to
+it in their block are the rest, and only the rest meets all other blocks, in
+cells of block pairs. So groups of near copies of any size take linear work,
+nothing is capped, and no link is lost: only pairs that hang together already
+are passed over. A large list or cluster whose classes are mostly not alike
+still takes work that grows with the square of its size.
 
 Sets are of 64-bit hashes; in a pair of sets of 20,000 shingles two different
 shingles agree with a chance of 1e-10.
 
 Defined results: a null text or one without words has the empty set, links
 with nothing and is kept; a text with fewer words than a shingle is one
-shingle; repeated rows get equal values; rows with one id
-count as one document in ``near_groups``, and each for itself in ``drop_near_copies``; a null id is linked with nothing and kept; an empty table gives no rows; other columns are ignored by ``near_groups``
-and kept by ``drop_near_copies``.
+shingle; a text of any length is one set, of eight bytes a shingle, in memory;
+repeated rows get equal values; rows with one id and different texts are
+documents of their own, which share the id; a null id is linked with nothing
+and kept; among equally central classes the one written first leads, which
+changes no result; an empty table gives no rows; other columns, whatever their
+names, are ignored by ``near_groups`` and kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,22 +50,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrow import map_batches
-from millrace.llm.components import components
+from millrace.llm.components import ROWS_A_TASK, components
 from millrace.session import ship
 from millrace.storage import materialize
 
 K = 32
 LEAST_SHARED = 13
 CELL = 2048
-#: Lists up to this size give all their pairs at once, larger ones are searched breadth first.
+CELL_BYTES = 16 << 20
+#: Lists up to this size are compared many at once, larger ones are searched breadth first.
 SMALL_LIST = 8
-#: Bits of the filter of ids whose sets are wanted: 2 MB for any corpus.
+#: Bits of the filter of ids whose sets are wanted (2 MB), and most ids that it serves; more are joined by a shuffle.
 FILTER_BITS = 24
-WORD_CACHE = 1 << 18
+FILTER_IDS = 1 << 22
+WORD_CACHE = 1 << 16
 #: Most ids that are broadcast (1.6 MB); more are joined by a shuffle.
 SMALL_IDS = 200_000
 _M = np.uint64
 _words: dict[bytes, int] = {}
+EDGES = "a long, b long, v long, rest boolean"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -90,44 +102,44 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(h)
 
 
+def set_key(s: np.ndarray) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(s.tobytes())
+
+
 def sketch_rows(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, set_key (equal for equal sets), sketch."""
 
     def run(batch):
-        from xxhash import xxh3_128_digest
-
         sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
-        return {
-            "doc_id": batch.column(0),
-            "n_shingles": [len(s) for s in sets],
-            "set_key": [xxh3_128_digest(s.tobytes()) for s in sets],
-            "sketch": [s[:K].view(np.int64) for s in sets],
-        }
+        return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "set_key": [set_key(s) for s in sets], "sketch": [s[:K].view(np.int64) for s in sets]}
 
     slim = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
     return map_batches(slim, run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
-def list_rows(reps: DataFrame) -> DataFrame:
-    """v, df, id, n, filter: the entries of inverted lists with more than one document."""
+def list_rows(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """v, id, blocks, weight, n, low: the entries of inverted lists with more than one class; and those of large lists alone."""
     values = reps.select("id", F.explode("sketch").alias("v"))
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = values.join(counts, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("found"))
+    shared = values.join(counts.hint("merge"), "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("found"))
     size, n = F.size("sketch"), F.col("n")
     # Whole sets of up to 26 shingles only meet whole sets, for which the bound is exact.
     least = F.when(n * 5 <= K * 4 + 2, F.ceil(n * 4 / 5)).otherwise(F.least(F.lit(LEAST_SHARED), F.ceil(n * 4 / 5)))
     room = size - least + 1 - (size - F.size("found"))
-    kept = reps.join(shared, "id").select("id", "n", F.transform("sketch", lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("low"), F.slice("found", F.lit(1), F.greatest(room, F.lit(0)).cast("int")).alias("found"))
-    return kept.select("id", "n", "low", F.explode("found").alias("f")).select(F.col("f.v").alias("v"), F.col("f.df").alias("df"), "id", "n", "low")
+    low = F.transform("sketch", lambda x: F.shiftrightunsigned(x, 33).cast("int"))
+    rarest = F.slice("found", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
+    kept = materialize(reps.join(shared.hint("merge"), "id").select("id", "n", low.alias("low"), F.size("found").alias("weight"), rarest.alias("found")), "neardup-lists")
+
+    def entries(found: Column) -> DataFrame:
+        out = kept.select("id", "n", "low", "weight", F.explode(found).alias("f"))
+        return out.select(F.col("f.v").alias("v"), "id", F.ceil(F.col("f.df") / CELL).cast("int").alias("blocks"), "weight", "n", "low")
 
+    return entries(F.col("found")), entries(F.filter("found", lambda f: f["df"] > CELL))
 
-def cells(entries: DataFrame) -> DataFrame:
-    """Entries with the cell of their list's block pairs that they take part in; side 0, 1 or 2 (both)."""
-    blocks = F.ceil(F.col("df") / CELL).cast("int")
-    own = F.pmod(F.xxhash64("id", "v"), blocks).cast("int")
-    side = lambda k: F.when(k == own, F.lit(2)).when(k > own, F.lit(0)).otherwise(F.lit(1))
-    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"), side(k).alias("side")))
-    return entries.select("*", F.explode(pair).alias("c")).select("*", "c.i", "c.j", "c.side").drop("c")
+
+# --- cells: what one task searches ------------------------------------------
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -169,13 +181,11 @@ def in_union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (twice & (place <= K)).sum(axis=1)
 
 
-class _Entries:
-    """The entries of some lists: sizes, sides and sketches, filled up with values that no sketch has twice."""
+class Sketches:
+    """Sizes and sketches of the entries of lists, filled up with values that no sketch has twice."""
 
     def __init__(self, table: pa.Table):
         self.n = table.column("n").to_numpy()
-        self.side = table.column("side").to_numpy()
-        self.ids = table.column("id").to_numpy()
         low = table.column("low").combine_chunks()
         off = low.offsets.to_numpy()
         flat = low.values.to_numpy()[off[0] : off[-1]].view(np.uint32).astype(np.int64)
@@ -187,7 +197,7 @@ class _Entries:
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Which pairs of entries may be linked."""
         x, y = self.n[a], self.n[b]
-        out = (np.minimum(x, y) * 100 >= np.maximum(x, y) * 80) & ((self.side[a] == 2) | (self.side[a] != self.side[b]))
+        out = np.minimum(x, y) * 100 >= np.maximum(x, y) * 80
         on = np.flatnonzero(out)
         least = np.minimum(LEAST_SHARED, np.ceil(np.minimum(x, y) * 0.8))
         for k in range(0, len(on), 1 << 14):
@@ -195,47 +205,176 @@ class _Entries:
             out[p] = in_union(self.low[a[p]], self.low[b[p]]) >= least[p]
         return out
 
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b: stars that connect what may be linked in each list's cell. Rows come sorted by v, i, j."""
-    for table in _groups(batches, 3):
-        own = _Entries(table)
-        bounds = _bounds(table, 3)
-        sizes = np.diff(bounds)
-        left, right = [], []
-        for size in range(2, SMALL_LIST + 1):
-            starts = bounds[:-1][sizes == size]
-            if len(starts):
-                i, j = np.triu_indices(size, 1)
-                a, b = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
-                keep = own.near(a, b)
-                left.append(a[keep])
-                right.append(b[keep])
-        for s, e in zip(bounds[:-1][sizes > SMALL_LIST].tolist(), bounds[1:][sizes > SMALL_LIST].tolist()):
-            todo = np.arange(s, e)
-            queue: list[int] = []
-            while len(todo):
-                if not queue:
-                    queue, todo = [int(todo[0])], todo[1:]
-                x = queue.pop()
-                keep = own.near(np.full(len(todo), x), todo)
-                found, todo = todo[keep], todo[~keep]
-                queue += found.tolist()
-                left.append(np.full(len(found), x))
-                right.append(found)
-        if left:
-            # The least id of what hangs together in a list: lists of one group give the same few pairs.
-            a, b = np.concatenate(left), np.concatenate(right)
-            label = own.ids.copy()
-            while True:
-                least = np.minimum(label[a], label[b])
-                if (least == label[a]).all() and (least == label[b]).all():
-                    break
-                np.minimum.at(label, a, least)
-                np.minimum.at(label, b, least)
-            on = label != own.ids
-            pairs = np.unique(np.stack([label[on], own.ids[on]], axis=1), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    def found(self, x: int, todo: np.ndarray) -> np.ndarray:
+        return self.near(np.full(len(todo), x), todo)
+
+
+class Sets:
+    """The full sets of a cell, with the cell's own inverted lists of the values that two sets or more hold."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets], dtype=np.int64)
+        values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        _, code, count = np.unique(values, return_inverse=True, return_counts=True)
+        on = count[code] > 1
+        member = np.repeat(np.arange(len(sets)), self.n)[on]
+        code = (np.cumsum(count > 1) - 1)[code[on]]
+        self.code, self.first = code, np.searchsorted(member, np.arange(len(sets) + 1))
+        self.member = member[np.argsort(code, kind="stable")]
+        self.lists = np.concatenate([[0], np.cumsum(count[count > 1])])
+
+    def found(self, x: int, todo: np.ndarray) -> np.ndarray:
+        """Which of ``todo`` are linked with ``x``, by whole sets and in whole numbers."""
+        own = self.code[self.first[x] : self.first[x + 1]]
+        lens = self.lists[own + 1] - self.lists[own]
+        inner = np.zeros(len(self.n), dtype=np.int64)
+        step = max(1, int(len(own) * (1 << 22) / max(1, lens.sum())))
+        for k in range(0, len(own), step):
+            a, m = self.lists[own[k : k + step]], lens[k : k + step]
+            at = np.repeat(a - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            inner += np.bincount(self.member[at], minlength=len(self.n))
+        both = inner[todo]
+        return both * 100 >= 80 * (self.n[x] + self.n[todo] - both)
+
+
+def whole(found: Callable[[int, np.ndarray], np.ndarray], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, the first entry of what each hangs together with), searched breadth first in ``order``."""
+    todo, queue, root = order, [], -1
+    left, right = [order[:0]], [order[:0]]
+    while len(todo) or queue:
+        if not queue:
+            root = int(todo[0])
+            queue, todo = [root], todo[1:]
+        if not len(todo):
+            break
+        x = queue.pop()
+        keep = found(x, todo)
+        got, todo = todo[keep], todo[~keep]
+        queue += got.tolist()
+        left.append(np.full(len(got), root))
+        right.append(got)
+    return np.concatenate(right), np.concatenate(left)
+
+
+def across(found: Callable[[int, np.ndarray], np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that tie the rest (side 0) to each other and to others (side 1: rest, side 2: the main group)."""
+    label = np.arange(len(side))
+    label[side == 2] = len(side)
+    a, b = [], []
+    for x in np.flatnonzero(side == 0).tolist():
+        todo = np.flatnonzero(label != label[x])
+        got = todo[found(x, todo)]
+        if len(got):
+            _, one = np.unique(label[got], return_index=True)
+            a += [x] * len(one)
+            b += got[one].tolist()
+            both = np.append(label[got], label[x])
+            label[np.isin(label, both)] = both.max()
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+
+
+def _rows(a: np.ndarray, b: np.ndarray, v: np.ndarray | None = None) -> pa.RecordBatch:
+    """Edges; with v: entries ``a`` that are the rest of ``v``."""
+    rest = v is not None
+    cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v if rest else np.zeros(len(a), np.int64), pa.int64()), pa.array(np.full(len(a), rest))]
+    return pa.record_batch(cols, names=["a", "b", "v", "rest"])
+
+
+def _searched(make: Callable[[pa.Table], object], first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A search of cells. Rows come sorted by v, i, j, side; side 0 is the central class or the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 3):
+            ids, side, dealt, v = (table.column(c).to_numpy() for c in ("id", "side", "dealt", "v"))
+            bounds = _bounds(table, 3)
+            sizes = np.diff(bounds)
+            left, right = [], []
+            many = make(table) if make is Sketches else None
+            if many is not None and first:
+                for size in range(2, SMALL_LIST + 1):
+                    starts = bounds[:-1][(sizes == size) & ~dealt[bounds[:-1]]]
+                    if len(starts):
+                        i, j = np.triu_indices(size, 1)
+                        a, b = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
+                        keep = many.near(a, b)
+                        left.append(a[keep])
+                        right.append(b[keep])
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if e - s < 2 or (many is not None and first and e - s <= SMALL_LIST and not dealt[s]):
+                    continue
+                if many is not None:
+                    found = lambda x, todo, s=s: many.found(x + s, todo + s)
+                else:
+                    found = make(table.slice(s, e - s)).found
+                if not first:
+                    a, b = across(found, side[s:e])
+                else:
+                    b, a = whole(found, np.arange(e - s))
+                    if dealt[s]:
+                        off = np.ones(e - s, dtype=bool)
+                        off[b[a == 0]] = False
+                        off[0] = False
+                        gone = np.flatnonzero(off & (ids[s:e] != ids[s])) + s
+                        if len(gone):
+                            yield _rows(ids[gone], ids[gone], v[gone])
+                left.append(a + s)
+                right.append(b + s)
+            if left:
+                pairs = np.unique(np.stack([ids[np.concatenate(left)], ids[np.concatenate(right)]], axis=1), axis=0)
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                if len(pairs):
+                    yield _rows(pairs[:, 0], pairs[:, 1])
+
+    return run
+
+
+def _full_sets(table: pa.Table) -> Sets:
+    return Sets([np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("set")])
+
+
+def linked(own: DataFrame, large: DataFrame, carry: list[str], make: Callable[[pa.Table], object], fill: Callable[[DataFrame], DataFrame], needs: list[str], name: str) -> DataFrame:
+    """Edges (a, b) of what hangs together in each v.
+
+    own: v, id, blocks, weight and the columns ``carry``; large: its rows with
+    more than one block. ``fill`` adds to cells what ``make`` needs.
+    """
+    block = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), n).cast("int")
+    more = [F.col(c) for c in ("id", *carry)]
+    zero = F.lit(0)
+
+    def searched(cells: DataFrame, first: bool) -> DataFrame:
+        cells = fill(cells).select("v", "i", "j", "side", "dealt", "id", *needs)
+        ordered = cells.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j", "side", "id")
+        return materialize(ordered.mapInArrow(_searched(make, first), EDGES), name)
+
+    flat = own.select("v", block(F.col("blocks"), 0).alias("i"), zero.alias("j"), F.lit(1).alias("side"), (F.col("blocks") > 1).alias("dealt"), *more)
+    lead = large.groupBy("v").agg(F.max(F.struct("weight", (-F.col("id")).alias("id_"), "blocks", *[F.col(c) for c in ("id", *carry)])).alias("m"))
+    lead = lead.select("v", F.explode(F.sequence(zero, F.col("m.blocks") - 1)).alias("i"), zero.alias("j"), zero.alias("side"), F.lit(True).alias("dealt"), *[F.col(f"m.{c}").alias(c) for c in ("id", *carry)])
+    one = searched(flat.unionByName(lead), True)
+    edges, rest = one.where("not rest").select("a", "b"), one.where("rest").select("v", F.col("a").alias("id")).distinct()
+    if not rest.limit(1).count():
+        return edges
+    rest = materialize(rest.coalesce(max(rest.sparkSession.sparkContext.defaultParallelism, -(-one.count() // ROWS_A_TASK))), f"{name}-rest")
+    counts = rest.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("parts"))
+    both = large.join(counts, "v").join(rest.withColumn("off", F.lit(True)), ["v", "id"], "left")
+    side = F.when(F.col("off"), F.lit(1)).otherwise(F.lit(2))
+    rows = F.transform(F.sequence(zero, F.col("parts") - 1), lambda i: F.struct(i.alias("i"), block(F.col("blocks"), 0).alias("j"), side.alias("side")))
+    own_rows = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda j: F.struct(block(F.col("parts"), 1).alias("i"), j.alias("j"), zero.alias("side")))
+    cell = F.explode(F.when(F.col("off"), F.concat(rows, own_rows)).otherwise(rows))
+    cells = both.select("v", cell.alias("c"), F.lit(True).alias("dealt"), *more).select("v", "c.i", "c.j", "c.side", "dealt", "id", *carry)
+    return edges.union(searched(cells, False).select("a", "b"))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges with the same components: each ``b`` goes to its least ``a`` only, and its other ``a`` to that one.
+
+    Lists of one group give many edges to few leaders; this leaves one a class,
+    and the few among leaders.
+    """
+    own = edges.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("all"))
+    least = F.element_at("all", 1)
+    pairs = F.concat(F.array(F.struct(least.alias("a"), F.col("b").alias("b"))), F.transform(F.slice("all", 2, 1 << 30), lambda a: F.struct(least.alias("a"), a.alias("b"))))
+    return own.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -249,94 +388,38 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, set of the documents in ``ids`` (and of a few others): hashed again from the text, in one scan."""
+    """set_key, set of the documents in ``ids`` (and of a few others): hashed again from the text, in one scan."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(id_filter(ids))
+    slim = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    few = ids.limit(FILTER_IDS + 1).count() <= FILTER_IDS
+    bits = spark.sparkContext.broadcast(id_filter(ids)) if few else None
+    if not few:
+        slim = slim.join(ids.hint("merge"), "id", "left_semi")
 
     def run(batch):
-        slots = batch.column(2).to_numpy()
-        on = (bits.value[slots >> 6] >> (slots & 63).astype(np.uint64)) & _M(1) == 1
-        batch = batch.filter(pa.array(on))
-        return {"id": batch.column(0), "set": [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]} if batch.num_rows else None
-
-    slim = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << FILTER_BITS)).alias("slot")
-    )
-    return map_batches(slim, run, "id long, set binary")
-
-
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs, by products of 0/1 matrices over values that two sets hold."""
-    lens = [len(s) for s in sets]
-    values = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), lens)
-    _, col, count = np.unique(values, return_inverse=True, return_counts=True)
-    shared = count > 1
-    place = np.cumsum(shared) - 1
-    on = shared[col]
-    row, col = row[on], place[col[on]]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    step = max(256, (8 << 20) // max(1, len(sets)))
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for at in range(0, int(shared.sum()), step):
-        a, b = np.searchsorted(col, [at, at + step])
-        part = np.zeros((len(sets), step), dtype=np.float32)
-        part[row[a:b], col[a:b] - at] = 1
-        out += part @ part.T
-    return out
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b: for each group that a cell's links make, a star around its smallest id. Rows: v, i, j, side, id, set."""
-    for table in _groups(batches, 3):
-        out: list[tuple[int, int]] = []
-        bounds = _bounds(table, 3)
-        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if e - s < 2:
-                continue
-            own = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("set").slice(s, e - s)]
-            sizes = np.array([len(x) for x in own])
-            if e - s == 2:
-                both = len(np.intersect1d(own[0], own[1], assume_unique=True))
-                inner = np.array([[0, both], [both, 0]])
-            else:
-                inner = intersections(own)
-            union = sizes[:, None] + sizes[None, :] - inner
-            near = inner * 100 >= 80 * union
-            near &= (side[s:e, None] == 2) | (side[s:e, None] != side[None, s:e])
-            label = np.arange(e - s)
-            while True:
-                new = np.minimum(label, np.where(near | near.T, label[None, :], e - s).min(axis=1))
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
-            for group in np.unique(label):
-                members = np.sort(ids[s:e][label == group])
-                out += [(int(members[0]), int(m)) for m in members[1:]]
-        if out:
-            yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
-
-
-def _in_cells(df: DataFrame) -> DataFrame:
-    return df.repartition("v", "i", "j").sortWithinPartitions("v", "i", "j")
+        if bits is not None:
+            slots = batch.column(2).to_numpy()
+            on = (bits.value[slots >> 6] >> (slots & 63).astype(np.uint64)) & _M(1) == 1
+            batch = batch.filter(pa.array(on))
+        if not batch.num_rows:
+            return None
+        sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+        return {"set_key": [set_key(s) for s in sets], "set": [s.tobytes() for s in sets]}
+
+    return map_batches(slim.withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))), run, "set_key binary, set binary")
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Edges (a, b) between representatives (id, n, sketch) that give the components of all links."""
+    """Edges (a, b) between classes (set_key, id, doc_id, n, sketch) that give the components of all links."""
     ship(docs.sparkSession)
-    entries = cells(list_rows(reps)).select("v", "i", "j", "side", "id", "n", "low")
-    near = _in_cells(entries).mapInArrow(_candidates, "a long, b long")
-    cluster = components(near).select("id", F.col("label").alias("v"))
-    sizes = cluster.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
-    members = cells(cluster.join(sizes, "v")).select("v", "i", "j", "side", "id")
-    sets = set_rows(docs, cluster.select("id"), width, id_col, text_col)
-    # A repeated id may have several texts; its rows are one document's.
-    one = sets.groupBy("id").agg(F.collect_set("set").alias("sets"))
-    full = members.join(one, "id").select("v", "i", "j", "side", "id", F.explode("sets").alias("set"))
-    return materialize(_in_cells(full).mapInArrow(_links, "a long, b long"), "neardup-links")
+    own, large = list_rows(reps)
+    near = linked(own, large, ["n", "low"], Sketches, lambda cells: cells, ["n", "low"], "neardup-near")
+    cluster = components(contracted(near)).select("id", F.col("label").alias("v"))
+    known = cluster.join(reps.select("id", "doc_id", "set_key", "n").hint("merge"), "id")
+    sizes = known.groupBy("v").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("n") * 8 / CELL_BYTES)).cast("int").alias("blocks"))
+    members = materialize(known.join(sizes, "v").select("v", "id", "blocks", F.col("n").alias("weight"), "set_key", "doc_id"), "neardup-members")
+    sets = materialize(set_rows(docs, members.select(F.col("doc_id").alias("id")), width, id_col, text_col), "neardup-sets").dropDuplicates(["set_key"])
+    return linked(members, members.where("blocks > 1"), ["set_key"], _full_sets, lambda cells: cells.join(sets.hint("merge"), "set_key"), ["set"], "neardup-links")
 
 
 def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,9 +427,12 @@ def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
     rows = materialize(sketch_rows(docs, width, id_col, text_col), "neardup-rows")
     real = rows.where("doc_id is not null and n_shingles > 0")
     least = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("r"))
-    reps = materialize(least.select("set_key", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.sketch").alias("sketch")), "neardup-classes")
+    # Classes have numbers of their own: rows with one id may be in several.
+    reps = materialize(least.select("set_key", F.monotonically_increasing_id().alias("id"), "r.doc_id", F.col("r.n_shingles").alias("n"), "r.sketch"), "neardup-classes")
     labels = components(links(docs, reps, width, id_col, text_col))
-    class_ = reps.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("label", "id").alias("component"))
+    known = reps.select("set_key", "id", "doc_id").join(labels, "id", "left").select("set_key", "doc_id", F.coalesce("label", "id").alias("label"))
+    first = known.groupBy("label").agg(F.min("doc_id").alias("component"))
+    class_ = known.join(first, "label").select("set_key", "component")
     found = rows.join(class_, "set_key", "left")
     component: Column = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
@@ -355,16 +441,19 @@ def near_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_co
 
 def drop_near_copies(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept. Where ids repeat, rows are told apart by a number, in order of ids."""
-    names, key = docs.columns, id_col
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    repeated = docs.where(id_.isNotNull()).groupBy(id_).count().where("count > 1")
     if repeated.limit(1).count():
-        key = "_row"
-        numbered = docs.orderBy(F.col(id_col).cast("long"), F.xxhash64(text_col)).withColumn(key, F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id()))
-        docs = materialize(numbered, "neardup-numbered")
-    own = near_groups(docs, width, key, text_col).where("not kept")
-    gone = materialize(own.select(F.col("doc_id").alias("_gone")).distinct(), "neardup-gone")
+        number = F.when(id_.isNotNull(), F.monotonically_increasing_id()).alias("key")
+        keyed = materialize(docs.orderBy(id_, F.xxhash64(text)).select(row, number), "neardup-numbered")
+    else:
+        keyed = docs.select(row, id_.alias("key"))
+    own = near_groups(keyed.select("key", F.col("row").getField(text_col).alias("text")), width, "key", "text").where("not kept")
+    gone = materialize(own.select(F.col("doc_id").alias("gone")).distinct(), "neardup-gone")
     few = gone.limit(SMALL_IDS + 1).count() <= SMALL_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[key] == F.col("_gone"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    left = keyed.join(F.broadcast(gone) if few else gone.hint("merge"), F.col("key") == F.col("gone"), "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

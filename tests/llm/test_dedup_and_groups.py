@@ -88,6 +88,9 @@ def test_components_of_a_path_and_a_hub(spark):
 
 
 def brute_prints(rows, band=imatch.BAND):
+    """By id: length, edited text's hash, parts of text and of edited text, likenesses. Subsets are made by filtering the lexicon."""
+    import struct
+
     import regex
 
     cut = lambda t: {w for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
@@ -99,22 +102,21 @@ def brute_prints(rows, band=imatch.BAND):
             df[w] = df.get(w, 0) + 1
     n = len(texts)
     lo, hi = max(2, band[0] * n), max(2, band[1] * n)
-    h = lambda w, seed=42: xxhash.xxh64_intdigest(w.encode(), seed=seed)
-    mask = (1 << imatch.SLOT_BITS) - 1
-    slots = {h(w) & mask for w, c in df.items() if lo <= c <= hi}
-    import struct
-
-    seeded = lambda w: h(w, xxhash.xxh64_intdigest(struct.pack("<I", imatch.SEED), seed=42))
+    words = {w for w, c in df.items() if lo <= c <= hi}
+    h = lambda s, seed=42: xxhash.xxh64_intdigest(s.encode(), seed=seed)
+    seed = xxhash.xxh64_intdigest(struct.pack("<I", imatch.SEED), seed=42)
+    subsets, bit = [], 0
+    for b in imatch.SPLITS:
+        subsets += [{w for w in words if h(w, seed) >> bit & (1 << b) - 1 == j} for j in range(1 << b)]
+        bit += b
+    number = lambda s: max(1, h(s) >> 33)
 
     def prints(t):
-        own = sorted((w for w in cut(t) if h(w) & mask in slots), key=str.encode)
+        own = sorted(cut(t) & words, key=str.encode)
         if not own:
-            return [hashlib.md5((" " + t).encode()).hexdigest()[:8]] * imatch.SUBSETS
-        parts = [[] for _ in range(imatch.SUBSETS)]
-        for w in own:
-            x = seeded(w)
-            parts[(x - (1 << 64) if x >> 63 else x) % imatch.SUBSETS].append(w)
-        return [hashlib.md5(" ".join(p).encode()).hexdigest()[:8] if p else "0" * 8 for p in parts]
+            return [number(" " + t)] * len(subsets)
+        picked = [[w for w in own if w in s] for s in subsets]
+        return [number(" ".join(p)) if p else 0 for p in picked]
 
     out = {}
     for k, (i, _) in enumerate(order):
@@ -124,10 +126,11 @@ def brute_prints(rows, band=imatch.BAND):
         a, b, c = prints(t), prints(edited), prints(after)
 
         def near(x, y):
-            some = [(p, q) for p, q in zip(x, y) if p != "0" * 8 or q != "0" * 8]
+            some = [(p, q) for p, q in zip(x, y) if p or q]
             return sum(p == q for p, q in some) / len(some) if some else 1.0
 
-        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), near(a, b), near(a, c))
+        show = lambda x: "".join("%08x" % p for p in x)
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(b), near(a, b), near(a, c))
     return out
 
 
@@ -148,6 +151,28 @@ def test_fingerprint_edges(spark):
     rows = [(3, "a b"), (3, "a b"), (None, "a b"), (2, None)]
     got = imatch.fingerprints(table(spark, rows)).collect()
     assert len(got) == 4 and len({r.fingerprint for r in got if r.n_chars}) == 1
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    # One of two equal rows is followed by the other, the other by the empty text; the null id is last, before the first.
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == sorted([("3", sha("a a")), ("3", sha("a ")), ("2", sha("")), ("None", sha("a a"))])
+
+
+def test_a_very_long_text_and_many_copies(spark):
+    long = " ".join(f"w{k % 9000}" for k in range(200_000))
+    rows = [(k, long if k % 2 else f"w{k} w{k + 2} and more") for k in range(12)] + [(50, "same text here")] * 40
+    got = imatch.fingerprints(table(spark, rows)).collect()
+    assert len(got) == 52 and len({r.fingerprint for r in got if r.doc_id == 50}) == 1
+    assert sum(r.near_next == 1.0 for r in got if r.doc_id == 50) == 39
+    assert len({r.fingerprint for r in got if r.n_chars == len(long)}) == 1
+
+
+def test_every_split_deals_the_lexicon_out(spark):
+    """120 subsets in eight splits, each of which has every term once; a term's subsets differ between splits."""
+    assert imatch.SUBSETS == 120
+    rows = [(k, f"t{k} t{k + 1}") for k in range(300)]
+    got = imatch.fingerprints(table(spark, rows), band=(0, 1)).collect()
+    parts = [[r.fingerprint[8 * j : 8 * j + 8] != "0" * 8 for j in range(120)] for r in got]
+    assert all(sum(p) <= 16 and sum(p[:8]) >= 4 and any(p[56:]) for p in parts)
+    assert len({tuple(p) for p in parts}) > 250
 
 
 def brute_capacity(sizes, shards):
@@ -200,3 +225,67 @@ def test_a_group_with_a_third_of_all_rows_is_alone(spark):
     sizes = sorted(r.b for r in got)
     assert max(r.n for r in got) == 300 and len(got) == 16
     assert sizes[14] < 1.4 * sizes[1]
+
+
+def test_one_id_with_two_texts_loses_neither(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(3, a), (5, a), (5, b), (8, b)]
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_groups(table(spark, rows), 2).collect()}
+    assert got == {(3, 5, 3, True), (5, 5, 3, False), (5, 5, 5, True), (8, 5, 5, False)}
+    left = neardup.drop_near_copies(table(spark, rows), 2).collect()
+    assert {r.text for r in left} == {a, b} and len(left) == 2
+
+
+def test_a_large_group_of_near_copies_gives_few_edges(spark, monkeypatch):
+    """3,000 near copies of one text, which are alike through it, in blocks of 64: edges by the class, and one component."""
+    monkeypatch.setattr(neardup, "CELL", 64)
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(10, " ".join(base))]
+    for k in range(3000):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 5])):
+            w[r.randrange(len(w))] = f"x{k}"
+        rows.append((11 + k, " ".join(w)))
+    rows += [(9000 + k, " ".join(f"y{k}z{j}" for j in range(50))) for k in range(40)]
+    edges = []
+    linked = neardup.linked
+    monkeypatch.setattr(neardup, "linked", lambda *a: edges.append(linked(*a)) or edges[-1])
+    got = {x.doc_id: x.component_id for x in neardup.near_groups(table(spark, rows), 2).collect()}
+    assert {got[i] for i, _ in rows[:3001]} == {10} and all(got[9000 + k] == 9000 + k for k in range(40))
+    assert neardup.contracted(edges[0]).count() < 2 * len(rows) and edges[1].count() < 2 * len(rows)
+
+
+def test_a_chain_in_blocks_is_one_component(spark, monkeypatch):
+    """Texts that are alike only to their neighbours: the central one ties few, so the rest meets all blocks."""
+    monkeypatch.setattr(neardup, "CELL", 16)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k + 1, " ".join(words[2 * k : 2 * k + 40])) for k in range(150)]
+    got = {x.doc_id: x.component_id for x in neardup.near_groups(table(spark, rows), 2).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, 2).items()} and set(got.values()) == {1}
+
+
+def test_sets_are_compared_in_whole_numbers():
+    """At the bound, with more common shingles than single-precision numbers can count a hundred of."""
+    import numpy as np
+
+    n = 90_000
+    both = np.arange(8 * n, dtype=np.uint64)
+    a, b = np.append(both, np.arange(10**9, 10**9 + n, dtype=np.uint64)), np.append(both, np.arange(2 * 10**9, 2 * 10**9 + n, dtype=np.uint64))
+    todo = np.array([1])
+    assert len(both) * 100 == 80 * (len(a) + len(b) - len(both)) and len(both) > 671_089
+    assert neardup.Sets([a, b]).found(0, todo).tolist() == [True]
+    assert neardup.Sets([a, np.append(b, np.uint64(7 * 10**9))]).found(0, todo).tolist() == [False]
+
+
+def test_names_that_clash_keep_their_values(spark):
+    df = spark.createDataFrame([(k, f"text number {k} is its own", k * 10, f"g{k}", k * 0.5, k + 100) for k in range(6)], "doc_id long, text string, key long, gone string, row double, `a.b` long")
+    got = neardup.drop_near_copies(df, 2)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{k % 50_000}x" for k in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, "short")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_groups(table(spark, rows), 2).collect()}
+    assert got == {1: (50_000, 1), 2: (50_001, 1), 3: (1, 3)}
