@@ -20,7 +20,7 @@ the merges.
 A text is read in pieces of about ``PIECE`` characters, cut at white space. A
 piece without any is cut where no character joins the one before, and the word
 that is open there goes on in the next piece. What the transducer gives for a
-short word, or for a short run between white space, is remembered.
+short word is remembered.
 
 Decoding reads ids as they come; it holds the bytes of a character that is not
 complete and nothing more.
@@ -51,11 +51,9 @@ from millrace.llm.arrow import map_batches
 #: Characters normalised and split together, and how much further white space is looked for.
 PIECE = 1 << 16
 FURTHER = 1 << 10
-#: Words (and runs between white space) whose tokens are remembered, and as many older ones, of so many characters at most.
-CACHE = 1 << 16
+#: Words whose tokens are remembered, and as many older ones, of so many characters at most.
+CACHE = 1 << 17
 SHORT = 64
-#: White space to Python, but not to the library.
-CONTROL = re.compile("[\x1c-\x1f]")
 NEVER = 1 << 62
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -178,7 +176,7 @@ class Transducer:
         self.letter, self.number = regex.compile(r"\p{L}").match, regex.compile(r"\p{N}").match
         self.path, self.unsettled = path, None
         self.decimal = {i: b"%d" % i for i in self.token}
-        self.word_ids, self.run_ids = Memory(self.word), Memory(self.run)
+        self.word_ids = Memory(self.word)
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of a list of symbols, lowest rank first, leftmost first."""
@@ -231,10 +229,6 @@ class Transducer:
         through = Word(self)
         return (*through.feed(word.encode("utf-8")), *through.close())
 
-    def run(self, run: str) -> tuple[int, ...]:
-        """Tokens of a run between white space."""
-        return tuple(chain.from_iterable(map(self.word_ids.__getitem__, self.split(run))))
-
     def split(self, piece: str) -> list[str]:
         """Words of a text, normalised."""
         if not piece.isascii():
@@ -293,9 +287,6 @@ class Transducer:
         """Tokens of a stretch without special tokens."""
         open_, kind = None, ""
         for piece, inside in self.pieces(text, at, end):
-            if open_ is None and not inside and not CONTROL.search(piece):
-                yield list(chain.from_iterable(map(self.run_ids.__getitem__, piece.split())))
-                continue
             words, out = self.split(piece), []
             if open_ is not None:
                 if words and self._kind(words[0][0]) == kind and piece[0] not in WHITE_SPACE:
