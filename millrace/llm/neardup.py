@@ -266,8 +266,8 @@ def across(found: Callable[[int, np.ndarray], np.ndarray], side: np.ndarray) ->
         got = todo[found(x, todo)]
         if len(got):
             _, one = np.unique(label[got], return_index=True)
-            a += [x] * len(one)
-            b += got[one].tolist()
+            a += got[one].tolist()  # many of the rest may find one hub, so that stands first, as a root does
+            b += [x] * len(one)
             both = np.append(label[got], label[x])
             label[np.isin(label, both)] = both.max()
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
