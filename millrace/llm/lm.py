@@ -4,7 +4,7 @@ The model predicts a token's class from the two classes before it in its
 document. The end and each of the most common words are classes of their own;
 every other word, known or not, is in one of the cells of a hash, which are
 classes too. Both numbers follow the corpus: ``OWN`` times the square root of
-its tokens, cells up to as many, so that the model grows with the input.
+its tokens, and an eighth as many cells, so that the model grows with the input.
 Classes in order of their counts are cut into groups of equal sums of square
 roots of counts, as many as make groups and classes within a group cost the
 same for a token. The chance of a class is that of its group times that of the
@@ -55,16 +55,17 @@ from millrace.llm.arrow import ROWS_A_PIECE
 from millrace.session import ship
 from millrace.storage import materialize
 
-#: Words with classes of their own: this times the square root of the tokens.
+#: Words with classes of their own: this times the square root of the tokens. Cells for others: this share of them.
 OWN = 8
+CELLS = 1 / 8
 HEAD = 1 << 17
 #: Length of a vector, with its bias.
 WIDTH = 24
 NOISE = 64
 #: Noise classes for each token, from the group of its class.
 NOISE_INSIDE = 2
-BATCH = 1024
-RATE = 0.12
+BATCH = 1536
+RATE = 0.13
 #: Sums of squared gradients at the start: of vectors of classes, and of groups and weights.
 FIRST, FIRST_GROUP = 0.01, 1e-4
 SEED = 5
@@ -129,7 +130,7 @@ class Vocabulary:
         self.tokens, self.kinds, self.ends = tokens, kinds, ends
         self.own = n = min(own_words(tokens), len(words))
         other_kinds = kinds - n - (ends > 0)
-        self.cells = max(1, min(n, other_kinds))
+        self.cells = max(1, min(math.ceil(n * CELLS), other_kinds))
         self.classes = 1 + self.cells + n
         self.class_of = np.concatenate([np.arange(n) + 1 + self.cells, cell_of(self.words[n:], self.cells)])
         self.cell_tokens = np.bincount(self.class_of[n:] - OTHER, weights=self.counts[n:], minlength=self.cells)
@@ -258,6 +259,13 @@ class Model:
         return out
 
 
+def _in_order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``x`` sorted, and where each came from: one sort of whole numbers."""
+    bits = len(x).bit_length()
+    both = np.sort(x << bits | np.arange(len(x)))
+    return both >> bits, both & (1 << bits) - 1
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
     np.negative(x, out=x)
@@ -284,7 +292,7 @@ class Trainer:
 
     def _vectors(self, k: int, at: np.ndarray, g: np.ndarray) -> None:
         """A step of the vectors ``at`` of table ``k``, each with the sum of its gradients."""
-        at, order = np.divmod(np.sort(at * len(at) + np.arange(len(at))), len(at))
+        at, order = _in_order(at)
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         rows = at[first]
         self.times[k][rows] += np.diff(np.r_[first, len(at)])
@@ -308,7 +316,7 @@ class Trainer:
         n, size = len(pick), np.float32(1 / len(pick))
         vectors = m.context[run[:-1]]
         target = run[pick]
-        group, order = np.divmod(np.sort(groups.group_of[target] * n + np.arange(n)), n)
+        group, order = _in_order(groups.group_of[target])
         place, target = pick[order] - 2, target[order]
         q = m.predicted(vectors[:-1], vectors[1:])[place]
 
@@ -371,8 +379,8 @@ class Trainer:
                     self.batch(run[k - 2 : k + BATCH], pick)
 
 
-def class_run(vocab: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts in a row: place of each token (-1: not listed, -2: end), class, and where each text ends."""
+def class_run(vocab: Vocabulary, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts in a row: words, place of each token (-1: not listed, -2: end), class, and where each text ends."""
     words, ends = [], []
     for t in texts:
         words += words_of(t)
@@ -385,7 +393,7 @@ def class_run(vocab: Vocabulary, texts: list[str | None]) -> tuple[np.ndarray, n
     listed = vocab.class_of if len(vocab.class_of) else np.array([OTHER])
     class_ = np.where(place >= 0, listed[np.maximum(place, 0)], END)
     class_[place == -1] = cell_of([words[k] for k in np.flatnonzero(found == -1)], vocab.cells)
-    return place, class_, ends
+    return words, place, class_, ends
 
 
 def train(tokens: DataFrame, vocab: Vocabulary, seed: int = SEED) -> Model:
@@ -482,7 +490,7 @@ def token_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS_A_PIECE):
                 piece = batch.slice(at, ROWS_A_PIECE)
                 texts = piece.column(1).to_pylist()
-                place, class_, ends = class_run(vocab, texts)
+                all_words, place, class_, ends = class_run(vocab, texts)
                 starts = np.concatenate([[0], ends[:-1] + 1])
                 listed = np.where(place >= 0, log_count[np.maximum(place, 0)], np.where(place == -2, end_log, 0.0))
                 other = (class_ >= OTHER) & (class_ < OTHER + vocab.cells)
@@ -490,10 +498,9 @@ def token_rows(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 share[other] = np.where(place >= 0, listed, 0.0)[other] - log_cell[class_[other] - OTHER]
                 sums = [np.add.reduceat(x, starts) for x in ((place != -1).astype(np.int64), listed, share)]
                 words, times = [], []
-                for t, s, e in zip(texts, starts, ends):
-                    rare = np.flatnonzero(place[s:e] == -1)
-                    own = words_of(t) if len(rare) else []
-                    found = Counter(own[k] for k in rare)
+                for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
+                    # A text's words lie as many places earlier as there are ends before it.
+                    found = Counter(all_words[s - k + x] for x in np.flatnonzero(place[s:e] == -1).tolist())
                     words.append([w.decode("utf-8") for w in found])
                     times.append(list(found.values()))
                 n = len(texts)
