@@ -2,8 +2,8 @@
 
 The lexicon is the terms whose share of documents lies in a band: neither
 common words nor words of a few documents. ``SPLITS`` random splits deal the
-whole lexicon, each anew, to 2, 8, 32 or 64 subsets, 120 in all, so every term is in
-eight subsets that overlap in all ways. A text's distinct terms of the lexicon
+whole lexicon, each anew, to 2, 8, 32 or 64 subsets, 116 in all, so every term is in
+six subsets that overlap in all ways. A text's distinct terms of the lexicon
 are sorted, and the hash of those in a subset, in order, is that subset's part
 of the fingerprint. Parts of large subsets agree for texts with nearly all
 terms in common, parts of small ones for texts that share fewer. Two texts are
@@ -27,7 +27,7 @@ equal fingerprints; a null id stands last; among repeated ids the order is by
 the text's hash, and each of several equal rows has the next one as its
 successor, the last the next document; a table of one row has itself as its
 next document; a text of any length is taken whole, in memory for its terms
-eight times; an empty table gives no rows; other columns are ignored.
+six times; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from millrace.llm.secrets import let
 from millrace.storage import materialize
 
 #: Bits of each split: a split of b bits deals the lexicon to 2 ** b subsets.
-SPLITS = (1, 1, 1, 1, 3, 3, 5, 6)
+SPLITS = (1, 1, 3, 3, 5, 6)
 SUBSETS = sum(1 << b for b in SPLITS)
 #: Least and largest share of documents of a lexicon term.
 BAND = (0.001, 0.01)
@@ -72,9 +72,10 @@ def parts_of(text: Column, buckets: Column) -> Column:
     """The fingerprint's parts, as whole numbers; 0 where a subset has no terms of the text."""
     end = (1 << 31) - 1
 
+    # A term's hash is cheaper than a place to keep it: Spark would make an array for it, for every term.
     def known(t: Column) -> Column:
-        found = lambda h: F.array_contains(F.get(buckets, h.bitwiseAND((F.size(buckets) - 1).cast("long")).cast("int")), h)
-        return let(F.xxhash64(t), found)
+        h = F.xxhash64(t)
+        return F.array_contains(F.get(buckets, h.bitwiseAND((F.size(buckets) - 1).cast("long")).cast("int")), h)
 
     def subsets(term: Column, place: Column) -> Column:
         """For each split the term's subset, with the term's place in the lower half of the number."""
@@ -96,9 +97,10 @@ def parts_of(text: Column, buckets: Column) -> Column:
         # Numbers sort by subset and then by term; an end stands after each subset's last term.
         ends = F.array(*[F.lit((j << 32) | end).cast("long") for j in range(SUBSETS)])
         numbers = F.sort_array(F.concat(F.flatten(F.transform(terms, subsets)), ends))
-        line = F.array_join(F.transform(numbers, lambda x: let(x.bitwiseAND(F.lit(end).cast("long")).cast("int"), lambda k: F.when(k == end, F.lit("\n")).otherwise(F.get(terms, k)))), " ")
+        place = lambda x: x.bitwiseAND(F.lit(end).cast("long")).cast("int")
+        line = F.array_join(F.transform(numbers, lambda x: F.coalesce(F.get(terms, place(x)), F.lit("\n"))), " ")
         pieces = F.slice(F.split(line, "\n", -1), 1, SUBSETS)
-        parts = F.transform(pieces, lambda p: let(F.trim(p), lambda s: F.when(s == "", F.lit(0)).otherwise(hashed(s))))
+        parts = F.transform(pieces, lambda p: F.when(F.trim(p) == "", F.lit(0)).otherwise(hashed(F.trim(p))))
         return F.when(F.size(terms) == 0, F.array_repeat(hashed(F.concat(F.lit(" "), text)), SUBSETS)).otherwise(parts)
 
     return let(F.array_sort(F.filter(terms_of(text), known)), dealt)
