@@ -56,16 +56,16 @@ from millrace.session import ship
 from millrace.storage import materialize
 
 #: Words with classes of their own: this times the square root of the tokens. Cells for others: this share of them.
-OWN = 8
+OWN = 10
 CELLS = 1 / 8
 HEAD = 1 << 17
 #: Length of a vector, with its bias.
-WIDTH = 24
+WIDTH = 16
 NOISE = 64
 #: Noise classes for each token, from the group of its class.
 NOISE_INSIDE = 2
-BATCH = 1536
-RATE = 0.13
+BATCH = 2048
+RATE = 0.15
 #: Sums of squared gradients at the start: of vectors of classes, and of groups and weights.
 FIRST, FIRST_GROUP = 0.01, 1e-4
 SEED = 5
@@ -230,9 +230,8 @@ class Model:
         """Natural log of the normalised chance of each target after classes ``two``, ``one``."""
         edges = self.groups.edges
         group, at = self.groups.group_of[target], self.groups.rank[target]
-        order = np.argsort(group, kind="stable")
-        q = self.predicted(self.context[two[order]], self.context[one[order]])
-        group, at = group[order], at[order]
+        group, order = _in_order(group)
+        q, at = self.predicted(self.context[two[order]], self.context[one[order]]), at[order]
         logs = np.empty(len(target), dtype=np.float32)
 
         def chosen(q: np.ndarray, vectors: np.ndarray, k: np.ndarray) -> np.ndarray:
