@@ -44,6 +44,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -155,8 +156,7 @@ class Vocabulary:
         """Place of each word in the list, -1 if it isn't there."""
         if self.index is None:
             self.index = {w: k for k, w in enumerate(self.words)}
-        get = self.index.get
-        return np.array([get(w, -1) for w in words], dtype=np.int64)
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
 
 def vocabulary(counts: DataFrame, ends: int, head: int = HEAD) -> tuple[Vocabulary, int]:
@@ -236,12 +236,14 @@ class Model:
 
         def chosen(q: np.ndarray, vectors: np.ndarray, k: np.ndarray) -> np.ndarray:
             s = q @ vectors.T
-            s -= s[np.arange(len(k)), k][:, None]
-            most = s.max(initial=0)
-            if most > 80:
-                s = s.astype(np.float64)
-                return -(most + np.log(np.exp(s - most).sum(axis=1)))
-            return -np.log(np.exp(s, out=s).sum(axis=1))
+            own = s[np.arange(len(k)), k]
+            with np.errstate(over="ignore", divide="ignore"):
+                out = own - np.log(np.exp(s, out=s).sum(axis=1))
+            if not np.isfinite(out).all():  # a score beyond what single precision can take the power of
+                s = (q @ vectors.T).astype(np.float64)
+                most = s.max(axis=1)
+                out = own - most - np.log(np.exp(s - most[:, None]).sum(axis=1))
+            return out
 
         for k in range(0, len(target), BLOCK):
             p = slice(k, k + BLOCK)
@@ -325,9 +327,12 @@ class Trainer:
         g_q = np.repeat(m.target[group[first]], np.diff(np.r_[first, n]), axis=0)
         g_true = _sigmoid(np.einsum("ij,ij->i", q, g_q) - self.log_noise[group]) - 1
         noise = m.target[drawn]
-        false = q @ noise.T
-        false -= self.log_noise[drawn]
-        g_false = _sigmoid(false)
+        away = -noise
+        away[:, -1] += self.log_noise[drawn]
+        g_false = q @ away.T  # the bias stands in the last place, where q is 1
+        np.exp(g_false, out=g_false)
+        g_false += 1
+        np.reciprocal(g_false, out=g_false)
         g_q *= g_true[:, None]
         g_q += g_false @ noise
         g_target = np.zeros_like(m.target)
