@@ -161,14 +161,13 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``docs`` that the mix takes, repeated as often as it takes them."""
     # Rows get a number that is written down with them; all but the last join is on numbers and sizes.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    whole = materialize(docs.select(row, F.monotonically_increasing_id().alias("number")), "mix-documents")
-    own = [F.col("row").getField(c) for c in (id_col, text_col, source_col)]
-    rows = materialize(slim_rows(whole, *own, seed, [F.col("number")]), "mix-sizes")
-    mixed = take(rows, block, weights, share, most)
+    own = [F.col(f"`{c}`") for c in (id_col, text_col, source_col)]
+    whole = materialize(slim_rows(docs, *own, seed, [F.monotonically_increasing_id().alias("number"), row]), "mix-documents")
+    mixed = take(whole.drop("row"), block, weights, share, most)
     copies = F.when(F.col("size") == 0, F.lit(1).cast("long")).otherwise(F.expr("(2 * taken + size) div (2 * size)"))
     times = mixed.select("number", copies.alias("copies")).where("copies > 0")
     # By a shuffle at every size: the numbers grow with the rows.
-    numbered = whole.join(times.hint("merge"), "number").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    numbered = whole.select("number", "row").join(times.hint("merge"), "number").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return numbered.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
