@@ -73,20 +73,20 @@ def read_by(df: DataFrame) -> set[str]:
     return found
 
 
-def _plain(path: str) -> str:
-    """The same for file:/x and file:///x."""
-    scheme, colon, rest = path.partition(":/")
-    return f"{scheme}:/{rest.lstrip('/')}" if colon else path
+def _whole(jvm, conf, path: str) -> str:
+    """A path as plans have it, with file system: the same for /x, file:/x and file:///x where files are local."""
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(conf).makeQualified(at).toString()
 
 
 def discard(spark: SparkSession, paths: Iterable[str], keep: DataFrame | None = None) -> list[str]:
     """Delete tables of ``paths`` that ``keep`` doesn't read; gives the others."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    held = {_plain(p) for p in read_by(keep)} if keep is not None else set()
+    held = {_whole(jvm, conf, p) for p in read_by(keep)} if keep is not None else set()
     kept = []
     for path in list(paths):
-        if _plain(path) in held:
+        if _whole(jvm, conf, path) in held:
             kept.append(path)
             continue
         at = jvm.org.apache.hadoop.fs.Path(path)

@@ -163,6 +163,16 @@ def test_only_the_last_table_is_left(spark, tmp_path):
     assert len(new) == 1 and next(iter(new)).startswith("stage-bpe") and got.count() > 0
 
 
+def test_pipeline_in_a_folder_without_scheme(spark, tmp_path, monkeypatch):
+    rows, labels = documents()
+    write(spark, tmp_path, rows, labels)
+    want = Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"{tmp_path}/shared")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert want and Counter(map(tuple, got.collect())) == want
+    assert [x[:9] for x in os.listdir(tmp_path / "shared" / "millrace")] == ["stage-bpe"]
+
+
 def test_a_stage_deletes_what_the_one_before_left_but_not_what_it_reads(spark, tmp_path):
     rows, labels = documents()
     write(spark, tmp_path, rows, labels)

@@ -159,6 +159,18 @@ def test_tables_go_when_nothing_reads_them(spark):
     assert storage.discard(spark, kept) == []
 
 
+@pytest.mark.parametrize("form", ["{}", "{}//", "file:{}", "file://{}", "file://{}/x/.."])
+def test_what_is_read_stays_however_the_folder_is_written(spark, tmp_path, monkeypatch, form):
+    monkeypatch.setattr(storage, "shared_dir", lambda _: form.format(tmp_path))
+    made = []
+    with storage.collected(made):
+        a = storage.materialize(spark.range(3), "test-a")
+        b = storage.materialize(a.where("id > 0"), "test-b")
+    kept = storage.discard(spark, made, keep=b)
+    assert kept == made[1:] and b.count() == 2
+    assert [x[:6] for x in os.listdir(tmp_path / "millrace")] == ["test-b"]
+
+
 def test_a_cluster_needs_a_shared_folder(monkeypatch):
     class Fake:
         class conf:
