@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -111,27 +111,31 @@ def distinct_lines_by_partition(df: DataFrame, text_col: str = "text", num_reduc
     return mapreduce.in_order(made).select(F.col("line").alias("key"))
 
 
-def distinct_bytes_map(given: bytes) -> bytes:
-    """The same map as a function of a partition's bytes."""
+def distinct_pieces_map(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The same map as a function of pieces of a partition's bytes."""
     from millrace.functions.text import WHITE_SPACE
 
-    found = (x.strip(WHITE_SPACE) for x in given.decode("utf-8").split("\n"))
-    return "".join(f"{x}\t1\n" for x in found if x).encode("utf-8")
+    for given in pieces:
+        found = (x.strip(WHITE_SPACE) for x in given.decode("utf-8").split("\n"))
+        yield "".join(f"{x}\t1\n" for x in found if x).encode("utf-8")
 
 
-def distinct_bytes_reduce(given: bytes) -> bytes:
-    """Each key of sorted records, once."""
-    out: list[bytes] = []
-    for record in given.split(b"\n"):
-        key = record.partition(b"\t")[0]
-        if key and (not out or out[-1] != key):
-            out.append(key)
-    return b"".join(x + b"\n" for x in out)
+def distinct_pieces_reduce(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """Each key of sorted records, once; of what was read only the last key is kept."""
+    last = b""
+    for given in pieces:
+        out: list[bytes] = []
+        for record in given.split(b"\n"):
+            key = record.partition(b"\t")[0]
+            if key and key != last:
+                out.append(key)
+                last = key
+        yield b"".join(x + b"\n" for x in out)
 
 
 def distinct_lines_of_files(spark: SparkSession, path: str, num_reduces: int | None = None) -> DataFrame:
-    """Distinct trimmed lines of text files, by functions of a partition's bytes."""
-    map_, reduce = mapreduce.as_bytes(distinct_bytes_map, "map"), mapreduce.as_bytes(distinct_bytes_reduce, "reduce")
+    """Distinct trimmed lines of text files, by functions of pieces of a partition's bytes."""
+    map_, reduce = mapreduce.as_pieces(distinct_pieces_map, "map"), mapreduce.as_pieces(distinct_pieces_reduce, "reduce")
     made = mapreduce.partitions(read_lines(spark, path), map_, reduce, num_reduces)
     return mapreduce.in_order(made).select(F.col("line").alias("key"))
 

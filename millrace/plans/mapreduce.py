@@ -3,13 +3,14 @@
 ``columns`` keeps the whole job in Catalyst: map is expressions, reduce is
 aggregates, and Spark adds partial sums before the shuffle. ``partitions`` takes
 arbitrary functions: map sees a partition's batches, reduce sees a partition of
-records in key order, once, over all its keys. ``by_key`` and ``as_bytes`` turn
-simpler functions into such.
+records in key order, once, over all its keys. ``by_key``, ``as_pieces`` and
+``as_bytes`` turn simpler functions into such.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,46 +141,107 @@ def by_key(fn: Callable[[str, Iterator[str | None]], Iterable[str]], rows_a_batc
     return reduce
 
 
-def _decoded(raw: bytes, strict: bool) -> str:
-    return raw.decode("utf-8", "strict" if strict else "replace")
+#: About so many bytes of text are given to a function of pieces at once, and about so many become one batch.
+PIECE = 1 << 20
+_ROWS = 1_000
 
 
-def as_bytes(fn: Callable[[bytes], bytes], stage: str, strict_utf8: bool = True, most_ratio: float | None = None) -> Callable[[Batches], Batches]:
-    """A map or reduce from a function of a whole partition's text, for jobs that were written so.
-
-    The partition is held in memory, as such a function asks. most_ratio: fail
-    when the output is larger than so many times the input (1,024 bytes at
-    least are allowed).
+def _lines_given(batches: Batches, stage: str) -> Iterator[bytes]:
+    for b in batches:
+        for at in range(0, b.num_rows, _ROWS):
+            cols = [c.to_pylist() for c in b.slice(at, _ROWS).columns]
+            if stage == "map":
+                yield from (f"{x}\n".encode() for x in cols[0] if x is not None)
+            else:
+                yield from (f"{k}\n".encode() if v is None else f"{k}\t{v}\n".encode() for k, v in zip(*cols))
+
+
+def _pieces(raw: Iterable[bytes]) -> Iterator[bytes]:
+    """Whole lines, together until they have ``PIECE`` bytes."""
+    held, size = [], 0
+    for x in raw:
+        held.append(x)
+        size += len(x)
+        if size >= PIECE:
+            yield b"".join(held)
+            held, size = [], 0
+    if held:
+        yield b"".join(held)
+
+
+def _whole_lines(made: Iterable[bytes]) -> Iterator[bytes]:
+    """The same bytes, cut after LFs into about ``PIECE`` bytes."""
+    rest: list[bytes] = []
+    for x in made:
+        at = 0
+        while at < len(x):
+            cut = x.rfind(b"\n", at, at + PIECE)
+            if cut < 0:
+                cut = x.find(b"\n", at + PIECE)
+            if cut < 0:
+                rest.append(x[at:])
+                break
+            yield b"".join([*rest, x[at : cut + 1]])
+            rest, at = [], cut + 1
+    if rest:
+        yield b"".join(rest)
+
+
+def as_pieces(fn: Callable[[Iterator[bytes]], Iterable[bytes]], stage: str, strict_utf8: bool = True, most_ratio: float | None = None) -> Callable[[Batches], Batches]:
+    """A map or reduce from a function of a partition's text that comes, and is given, in pieces.
+
+    fn gets an iterator over pieces of whole lines (a key's records may go over
+    several) and gives pieces that may end anywhere. Neither the partition nor
+    its result is held in memory. most_ratio: fail as soon as the output is
+    larger than so many times what was read (1,024 bytes at least are allowed).
     """
     if stage not in ("map", "reduce"):
         raise ValueError("stage is map or reduce")
 
     def run(batches: Batches) -> Batches:
-        parts: list[str] = []
-        for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            if stage == "map":
-                parts += [x for x in cols[0] if x is not None]
-            else:
-                parts += [k if v is None else f"{k}\t{v}" for k, v in zip(*cols)]
-        if not parts:
-            return
-        given = "".join(f"{x}\n" for x in parts).encode("utf-8")
-        made = fn(given)
-        if most_ratio is not None and len(made) > max(1024, most_ratio * len(given)):
-            raise ValueError(f"{stage} made {len(made)} bytes of {len(given)}")
-        rows = [x for x in _decoded(made, strict_utf8).split("\n") if x]
-        if stage == "reduce":
-            yield pa.record_batch([pa.array(rows, pa.string())], names=["line"])
+        read = size = 0
+
+        def given() -> Iterator[bytes]:
+            nonlocal read
+            for x in _pieces(_lines_given(batches, stage)):
+                read += len(x)
+                yield x
+
+        def made(source: Iterator[bytes]) -> Iterator[bytes]:
+            nonlocal size
+            for x in fn(source):
+                size += len(x)
+                if most_ratio is not None and size > max(1024, most_ratio * read):
+                    raise ValueError(f"{stage} made {size} bytes of {read}")
+                yield x
+
+        source = given()
+        first = next(source, None)
+        if first is None:
             return
-        split = [x.partition("\t") for x in rows]
-        yield pa.record_batch(
-            [pa.array([k for k, _, _ in split], pa.string()), pa.array([v if t else None for _, t, v in split], pa.string())], names=["key", "value"]
-        )
+        for raw in _whole_lines(made(chain([first], source))):
+            rows = [x for x in raw.decode("utf-8", "strict" if strict_utf8 else "replace").split("\n") if x]
+            if stage == "reduce":
+                yield pa.record_batch([pa.array(rows, pa.string())], names=["line"])
+                continue
+            split = [x.partition("\t") for x in rows]
+            yield pa.record_batch(
+                [pa.array([k for k, _, _ in split], pa.string()), pa.array([v if t else None for _, t, v in split], pa.string())], names=["key", "value"]
+            )
 
     return run
 
 
+def as_bytes(fn: Callable[[bytes], bytes], stage: str, strict_utf8: bool = True, most_ratio: float | None = None) -> Callable[[Batches], Batches]:
+    """A map or reduce from a function of a whole partition's text, for jobs that were written so.
+
+    The partition is held in memory, as such a function asks; ``as_pieces`` has
+    no such need. most_ratio: fail when the output is larger than so many times
+    the input (1,024 bytes at least are allowed).
+    """
+    return as_pieces(lambda pieces: [fn(b"".join(pieces))], stage, strict_utf8, most_ratio)
+
+
 def lines_of(found: DataFrame) -> DataFrame:
     """``line`` from key and value."""
     return found.select(record_line(F.col("key"), F.col("value")).alias("line"))

@@ -1,11 +1,13 @@
 """The partition-level engine against a plain model, over reducers and splits."""
 
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import text_jobs
 from millrace.operators.text_jobs import distinct_map, values_in_order
 from millrace.plans import mapreduce
 
@@ -74,6 +76,66 @@ def test_bytes_functions(spark):
     assert [r.line for r in mapreduce.in_order(made).collect()] == ["a\t3", "b\t1"]
 
 
+def batches_of(columns: list[str], rows: list[tuple], size: int):
+    for at in range(0, len(rows), size):
+        yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows[at : at + size])], names=columns)
+
+
+@pytest.mark.parametrize("piece", [1, 7, 40, 1 << 20])
+def test_pieces_give_what_the_whole_gives(monkeypatch, piece):
+    monkeypatch.setattr(mapreduce, "PIECE", piece)
+    given = [(t,) for t in texts(5)] + [(None,), ("é" * 30,), ("",)]
+    seen: list[bytes] = []
+
+    def odd(pieces):
+        """Gives its input in parts that end anywhere."""
+        for x in pieces:
+            seen.append(x)
+            yield from (x[k : k + 3] for k in range(0, len(x), 3))
+
+    whole = "".join(f"{t}\n" for (t,) in given if t is not None)
+    want = [(k, v if t else None) for k, t, v in (x.partition("\t") for x in whole.split("\n") if x)]
+    for fn in (mapreduce.as_pieces(odd, "map"), mapreduce.as_bytes(lambda b: b, "map")):
+        made = [tuple(r.values()) for b in fn(batches_of(["value"], given, 9)) for r in b.to_pylist()]
+        assert made == want
+    assert b"".join(seen) == whole.encode() and all(x.endswith(b"\n") and len(x) < piece + 70 for x in seen)
+    records = sorted(want, key=lambda r: r[0].encode())
+    lines = [k if v is None else f"{k}\t{v}" for k, v in records if v is not None or k]
+    for fn in (mapreduce.as_pieces(odd, "reduce"), mapreduce.as_bytes(lambda b: b, "reduce")):
+        assert [x for b in fn(batches_of(["key", "value"], records, 9)) for x in b.column(0).to_pylist()] == lines
+
+
+def test_pieces_have_a_size_guard_and_are_not_asked_for_without_lines():
+    batch = pa.record_batch([pa.array(["x"] * 10)], names=["value"])
+    made = mapreduce.as_pieces(lambda pieces: (b"y\n" * 400 for _ in range(10**9)), "map", most_ratio=4)
+    with pytest.raises(ValueError, match="map made 1600 bytes of 20"):
+        list(made(iter([batch])))
+    assert list(mapreduce.as_pieces(lambda pieces: [b"a\n"], "reduce")(iter([]))) == []
+
+
+def test_lines_of_files_hold_neither_a_partition_nor_a_key(monkeypatch, tmp_path, spark):
+    caught = []
+    monkeypatch.setattr(mapreduce, "partitions", lambda df, map, reduce, n=None: caught.append((map, reduce)) or df.selectExpr("value line"))  # noqa: A002
+    text_jobs.distinct_lines_of_files(spark, str(tmp_path))
+    map_, reduce = caught[0]
+    many = 400
+
+    def lines(key):
+        for k in range(many):
+            yield pa.record_batch([pa.array([f"{key(k * 1000 + i)} {'x' * 80}" for i in range(1000)])], names=["value"])
+
+    def records(key):
+        for b in lines(key):
+            yield pa.record_batch([b.column(0), pa.array(["1"] * 1000)], names=["key", "value"])
+
+    for fn, given, rows in ((map_, lines(str), many * 1000), (reduce, records("{:09d}".format), many * 1000), (reduce, records(lambda _: "one"), 1)):
+        tracemalloc.start()
+        found = sum(b.num_rows for b in fn(given))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found == rows and most < 12e6  # of 36 MB and more of text
+
+
 def test_bad_utf8_and_size_guard():
     batch = pa.record_batch([pa.array(["x"])], names=["value"])
     with pytest.raises(UnicodeDecodeError):
