@@ -8,7 +8,9 @@ capacity, each try checked greedily, then cuts at the smallest feasible one.
 No task and no driver array ever holds all groups. The driver sees sums over
 2**14 hash ranges, solves the cut with a bound from each side (ranges taken as
 divisible, ranges taken as atomic), and asks for finer sums only of the ranges
-in which a cut can lie, until these are single groups.
+in which a cut can lie, until these are single groups. Groups and the result
+are written by as many tasks as the rows need, not fewer than cores: many small
+files cost more than their rows.
 
 Defined results: a null text has size 1 and is in the group of the empty text;
 repeated rows each get a slot of their own, in order of id and text's hash; of
@@ -24,6 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.components import ROWS_A_TASK
 from millrace.storage import materialize
 
 FIRST_BITS, MORE_BITS = 14, 8
@@ -143,8 +146,10 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         ),
         "shard-rows",
     )
-    groups = materialize(slim.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-groups")
-    total, rows = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rows = slim.count()
+    tasks = max(slim.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK))
+    groups = materialize(slim.groupBy("key").agg(F.sum("size").alias("bytes")).coalesce(tasks), "shard-groups")
+    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     alone, left = [], int(total)
     for key, size in groups.orderBy(F.desc("bytes"), "key").limit(shards).select("key", "bytes").collect():
         if shards - len(alone) > 1 and size * (shards - len(alone)) > left:
@@ -161,7 +166,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     for k, key in enumerate(alone):
         shard = F.when(F.col("key") == F.lit(key), F.lit(k)).otherwise(shard)
     placed = slim.withColumn("shard", shard.cast("int"))
-    return number_rows(placed, "shard", [F.col("doc_id"), F.col("key")], int(rows), "slot")
+    return number_rows(placed, "shard", [F.col("doc_id"), F.col("key")], rows, "slot").coalesce(tasks)
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """op1, op6, op7: brute force and edge cases."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -8,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from millrace import storage
 from millrace.llm import imatch, neardup, sharding
 from millrace.llm.components import components
 
@@ -227,6 +229,29 @@ def test_a_group_with_a_third_of_all_rows_is_alone(spark):
     assert sizes[14] < 1.4 * sizes[1]
 
 
+def test_shards_are_written_by_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    rows = [(k, f"text {k % 150} " * (k % 7 + 1)) for k in range(300)]
+    want = sorted(map(tuple, sharding.shard_documents(table(spark, rows), 16).collect()))
+    cores = spark.sparkContext.defaultParallelism
+    hold = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in hold}
+    try:
+        for k, v in hold.items():
+            spark.conf.set(k, v)
+        for size, most in ((sharding.ROWS_A_TASK, cores), (50, 6)):
+            monkeypatch.setattr(sharding, "ROWS_A_TASK", size)
+            made = []
+            with storage.collected(made):
+                got = sharding.shard_documents(table(spark, rows), 16)
+            groups = next(p for p in made if "shard-groups" in p).removeprefix("file://")
+            assert sum(f.startswith("part-") for f in os.listdir(groups)) <= most
+            assert got.rdd.getNumPartitions() == most
+            assert sorted(map(tuple, got.collect())) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_one_id_with_two_texts_loses_neither(spark):
     a, b = "one two three four five six", "seven eight nine ten eleven twelve"
     rows = [(3, a), (5, a), (5, b), (8, b)]
